@@ -55,3 +55,16 @@ def sliced(batches, column: str, limit: int):
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, but as a compressed columnar table in the shared folder, of which readers prune columns."""
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tellgrid-ck-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellgrid.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellgrid.llm.topk import topk
+
+    return topk(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.mixing import mix
 
@@ -108,14 +120,23 @@ FROM v LEFT JOIN post ON v.host = post.host
 """
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellgrid.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_topk": op3_topk,
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
         "op7_language": op7_language,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_url_filter": op9_url_filter,
+        "op10_html": op10_html,
     }
 
 
