@@ -32,6 +32,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(table(spark, sf_dir, "embeddings"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tellgrid.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.mixing import mix
 
@@ -131,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_topk": op3_topk,
+        "op4_pii": op4_pii,
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
         "op7_language": op7_language,
