@@ -42,7 +42,7 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, upper, upper.lower())
 
 
-def sliced(batches, column: str, limit: int):
+def sliced(batches, column: str | int, limit: int):
     """Cut record batches into slices of about ``limit`` bytes of ``column`` (a row at least)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -50,7 +50,8 @@ def sliced(batches, column: str, limit: int):
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        at = column if isinstance(column, int) else batch.schema.get_field_index(column)
+        size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         block = np.cumsum(size) // limit
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
