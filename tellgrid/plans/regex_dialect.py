@@ -42,7 +42,7 @@ def _translate(pattern: str, engine: str) -> str:
     i, n, in_class, first = 0, len(pattern), False, False
     # a boundary must not fold case: under (?i) the classes would take the long s and the Kelvin sign
     fixed = lambda s: f"(?-i:{s})"
-    end = r"\Z" if engine == "python" else r"\z"
+    end = r"\z" if engine == "java" else r"\Z"
     while i < n:
         c = pattern[i]
         if c == "\\":
@@ -64,9 +64,9 @@ def _translate(pattern: str, engine: str) -> str:
                     raise _fail(pattern, f"\\{d} inside a class is not supported")
                 out.append(fixed(f"[^{_CLASSES[d.lower()]}]"))
             elif d == "b" and not in_class:
-                out.append(fixed(_BOUNDARY))
+                out.append(r"(?a:\b)" if engine == "python" else fixed(_BOUNDARY))
             elif d == "B" and not in_class:
-                out.append(fixed(_INSIDE))
+                out.append(r"(?a:\B)" if engine == "python" else fixed(_INSIDE))
             elif d == "A":
                 out.append(r"\A")
             elif d == "z":
@@ -135,7 +135,7 @@ def _translate(pattern: str, engine: str) -> str:
             if pattern.startswith("(?", i):
                 m = _re.compile(r"\(\?P?<(\w+)>").match(pattern, i)
                 if m:
-                    out.append(f"(?P<{m[1]}>" if engine == "python" else f"(?<{m[1]}>")
+                    out.append(f"(?<{m[1]}>" if engine == "java" else f"(?P<{m[1]}>")
                     i = m.end()
                     continue
                 m = _re.compile(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])").match(pattern, i)
@@ -203,9 +203,10 @@ def compile_python(pattern: str) -> regex.Pattern | _re.Pattern:
     The standard engine is the faster one; ``regex`` serves patterns with
     Unicode properties, which the standard engine does not know.
     """
-    text = _translate(pattern, "python")
     try:
-        return regex.compile(text, regex.V0) if _re.search(r"\\[pP]", text) else _re.compile(text)
+        if _re.search(r"\\[pP]", pattern):
+            return regex.compile(_translate(pattern, "regex"), regex.V0)
+        return _re.compile(_translate(pattern, "python"))
     except (regex.error, _re.error) as e:
         raise _fail(pattern, str(e)) from e
 

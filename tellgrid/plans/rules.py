@@ -8,8 +8,8 @@ search and no pattern at all.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
 
 import regex
 
@@ -23,6 +23,14 @@ Match = regex.Match
 GAP = r"(?:[ \t]+(?:\n[ \t]*)?|\n[ \t]*)"
 
 
+#: Narrowed patterns that a fused rule remembers.
+NARROWED = 1024
+
+
+def _whole_words(parts: Iterable[str]) -> str:
+    return r"(?i)\b(?:" + "|".join(parts) + r")\b"
+
+
 @dataclass(frozen=True)
 class Rule:
     order: int
@@ -40,6 +48,25 @@ class Rule:
     #: Casefolded literals; a text without any of them cannot match.
     literals: tuple[str, ...] = ()
     replacement: str | None = None
+    #: Of a fused rule: the alternatives, one for each literal.
+    alternatives: tuple[str, ...] = ()
+    _narrow: dict[tuple[int, ...], regex.Pattern] = field(default_factory=dict, compare=False, repr=False)
+
+    def matches(self, text: str, folded: str) -> Iterator[Match]:
+        """All matches.  A fused rule scans with those of its alternatives whose literals occur, in their order."""
+        if not self.literals:
+            return self.pattern.finditer(text)
+        if not self.alternatives:
+            return self.pattern.finditer(text) if any(x in folded for x in self.literals) else iter(())
+        present = tuple(i for i, x in enumerate(self.literals) if x in folded)
+        if not present:
+            return iter(())
+        pattern = self._narrow.get(present)
+        if pattern is None:
+            if len(self._narrow) >= NARROWED:
+                self._narrow.clear()
+            pattern = self._narrow[present] = compile_python(_whole_words(self.alternatives[i] for i in present))
+        return pattern.finditer(text)
 
     def finding_name(self, match: str) -> str:
         return f"{self.name}:{letters.lower(' '.join(fields(match)))}" if self.by_match else self.name
@@ -126,8 +153,8 @@ class _Builder:
     def swaps(self, kind: str, name: str, table: Mapping[str, str], keep=None) -> None:
         if table:
             words = sorted(table)
-            source = r"(?i)\b(?:" + "|".join(map(quote, words)) + r")\b"
-            self.add(kind, name, source, [w.casefold() for w in words], rewrite=_swap(table), keep=keep)
+            parts = tuple(map(quote, words))
+            self.add(kind, name, _whole_words(parts), [w.casefold() for w in words], rewrite=_swap(table), keep=keep, alternatives=parts)
 
     def tidy(self, name: str, source: str, literals: Iterable[str], rewrite, keep=None) -> None:
         self.add("tidy", name, source, literals, rewrite=rewrite, keep=keep, tidy=True)
@@ -152,8 +179,8 @@ def compile_profile(p: Profile) -> Plan:
     if words := [w for w in p.blockWords if w]:
         # longest first (in bytes), so that a longer term wins over one that begins it
         words.sort(key=lambda w: (-len(w.encode()), w))
-        source = "(?i)(?:" + "|".join(rf"\b{quote(w).replace(' ', GAP)}\b" for w in words) + ")"
-        b.add("word", "word", source, [_literal(w) for w in words], keep=_not_a_name, by_match=True)
+        parts = tuple(quote(w).replace(" ", GAP) for w in words)
+        b.add("word", "word", _whole_words(parts), [_literal(w) for w in words], keep=_not_a_name, by_match=True, alternatives=parts)
     for name in sorted(p.flagPatterns):
         b.add("structural", f"structural:{name}", p.flagPatterns[name])
     if p.splitSemicolons:
