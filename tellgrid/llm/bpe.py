@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,34 +163,29 @@ def fold_distinct_words(words: DataFrame, ranks: dict[bytes, int], word_col: str
     """word, ids array<int>, by a fold of ranked merges in Spark's higher-order functions.
 
     ``words`` holds distinct pieces of a text's pattern matches.  The rank map is
-    a literal: an array of ``buckets`` small maps, addressed by a hash of the pair.
+    a literal (a constant that the optimizer folds): an array of ``buckets``
+    small maps of hexadecimal bytes, addressed by a hash of the pair.
     """
-    spark = words.sparkSession
-    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, MapType, StructField, StructType
-
-    hashed = spark.createDataFrame([(bytes(p), r) for p, r in ranks.items()], "piece binary, rank int")
-    rows = hashed.groupBy(F.pmod(F.xxhash64("piece"), F.lit(buckets)).cast("int").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("piece", "rank"))).alias("m")).collect()
-    maps: list[dict] = [{} for _ in range(buckets)]
-    for b, m in rows:  # a vocabulary, of a fixed size
-        maps[b] = m
-    schema = StructType([StructField("maps", ArrayType(MapType(BinaryType(), IntegerType())))])
-    one = F.broadcast(spark.createDataFrame([(maps,)], schema))
+    maps: list[dict[str, int]] = [{} for _ in range(buckets)]
+    for piece, rank in ranks.items():
+        text = piece.hex().upper()
+        maps[zlib.crc32(text.encode()) % buckets][text] = rank
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+    none = 1 << 30
 
     def rank(piece: Column) -> Column:
-        return F.coalesce(F.element_at(F.element_at(F.col("maps"), F.pmod(F.xxhash64(piece), F.lit(buckets)).cast("int") + 1), piece), F.lit(1 << 30))
+        bucket = (F.crc32(piece.cast("binary")) % buckets).cast("int")
+        return F.coalesce(F.try_element_at(F.get(table, bucket), piece), F.lit(none))
 
-    raw = F.col(word_col).cast("binary")
-    parts = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
+    raw = F.hex(F.col(word_col).cast("binary"))
+    size = F.octet_length(F.col(word_col))
+    parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(raw, i * 2 - 1, F.lit(2)))
 
     def step(acc: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(acc) - 1), lambda i: F.struct(rank(F.concat(F.element_at(acc, i.cast("int")), F.element_at(acc, (i + 1).cast("int")))).alias("r"), i.cast("int").alias("i")))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(acc) - 1), lambda i: F.struct(rank(F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))).alias("r"), i.alias("i")))
         best = F.array_min(pairs)
-        merged = F.concat(
-            F.slice(acc, F.lit(1), best["i"] - 1),
-            F.array(F.concat(F.element_at(acc, best["i"]), F.element_at(acc, best["i"] + 1))),
-            F.slice(acc, best["i"] + 2, F.size(acc)),
-        )
-        return F.when((F.size(acc) < 2) | (best["r"] >= 1 << 30), acc).otherwise(merged)
-
-    folded = F.when(F.octet_length(raw) < 2, F.array(raw)).otherwise(F.aggregate(F.sequence(F.lit(2), F.octet_length(raw)), parts, step))
-    return words.crossJoin(one).select(F.col(word_col).alias("word"), F.transform(folded, rank).alias("ids"))
+        merged = F.concat(F.slice(acc, F.lit(1), best["i"] - 1), F.array(F.concat(F.element_at(acc, best["i"]), F.element_at(acc, best["i"] + 1))), F.slice(acc, best["i"] + 2, F.size(acc)))
+        return F.when(F.size(acc) < 2, acc).otherwise(F.when(best["r"] == none, acc).otherwise(merged))
+
+    folded = F.when(size == 0, F.array().cast("array<string>")).when(size == 1, F.array(raw)).otherwise(F.aggregate(F.sequence(F.lit(2), size), parts, step))
+    return words.select(F.col(word_col).alias("word"), F.transform(folded, rank).alias("ids"))

@@ -87,7 +87,7 @@ def threshold_search(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.nd
         skip = mine.get(int(q_id[row]), [])
         t, done = depth, False
         # the walk: all lists to depth t, from the end that the query's sign asks for
-        while (len(up) + len(down)) * t < n // 2 and not done:
+        while 0 < (len(up) + len(down)) * t < n // 2 and not done:
             seen[:] = False
             seen[by_dim[up, n - t :].ravel()] = True
             seen[by_dim[down, :t].ravel()] = True

@@ -1,0 +1,490 @@
+"""Each operator against a brute-force version and its defined edge cases."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def make(spark, texts, extra=True):
+    """Documents by id; a None id, repeated rows and a clashing column come with the rows."""
+    rows = [(i, t, "en" if k % 2 else "fr", f"s{k % 3}" if k % 4 else None, len(t or "")) for k, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.withColumns({c: F.lit("clash") for c in ("norm", "sha", "id", "fp", "mh", "size", "key", "score")}) if extra else df
+
+
+LONG = "long words and more " * 6000
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "Same  text"), (5, "Same\ttext"), (5, "Same\ttext"), (6, "same text"), (7, LONG), (8, "é😀 ß"), (None, "Same text"), (None, None)]
+
+
+def empty(spark):
+    return make(spark, [(1, "x")]).limit(0)
+
+
+# --- 8: exact dedup ---------------------------------------------------------------------
+
+
+def brute_exact(rows):
+    out, groups = [], {}
+    for i, t in rows:
+        groups.setdefault(SPACES.sub(" ", t or ""), []).append(i)
+    for norm, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i))
+        for k, i in enumerate(ids):
+            out.append((i, ids[0], len(ids), k == 0, hashlib.sha256(norm.encode()).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("rows", [ODD, [(i, f"t{i % 7}") for i in range(500)], [(i, "one text") for i in range(300)] + [(i, f"u{i}") for i in range(300, 400)]])
+def test_exact_dedup(spark, rows):
+    from tellgrid.llm.exact_dedup import content_sort
+
+    got = Counter(map(tuple, content_sort(make(spark, rows)).collect()))
+    assert got == brute_exact(rows)
+
+
+def test_exact_dedup_empty(spark):
+    from tellgrid.llm.exact_dedup import content_sort
+
+    assert content_sort(empty(spark)).collect() == []
+
+
+# --- 1: BPE -----------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import public_tokenizers as P
+    import tiktoken
+
+    from tellgrid.llm.bpe import load_ranks
+
+    ranks = load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    return ranks, P.PATTERN, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_as_the_library(spark, bpe, sf_dir):
+    from tellgrid.llm.bpe import decode, encode
+
+    ranks, pattern, lib = bpe
+    rows = [*ODD, (9, "x" * 3000), (10, "<|endoftext|> it's   fine\n\n\n don't"), (11, "\u3000\u2028a\x1cb٣")]
+    for df in (make(spark, rows), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        done = decode(encode(df, ranks, pattern), ranks).collect()
+        want = Counter((r.doc_id, np.array(lib.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode()) for r in df.collect())
+        assert Counter((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in done) == want
+        assert all(r.n_tokens == len(r.ids) // 4 for r in done)
+    assert decode(encode(empty(spark), ranks, pattern), ranks).collect() == []
+
+
+def test_bpe_fold_in_higher_order_functions(spark, bpe):
+    from tellgrid.llm.bpe import fold_distinct_words, merge
+
+    ranks = bpe[0]
+    words = ["", "a", " the", "hello", "Thntblere", "ß😀", "\n\n", "aaaaaaa", " ouerandsh"]
+    got = {r.word: r.ids for r in fold_distinct_words(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()}
+    assert got == {w: merge(w.encode(), ranks) if w else [] for w in words}
+
+
+# --- 2: substring dedup -------------------------------------------------------------------
+
+
+def brute_repeats(texts, length):
+    count = Counter()
+    for t in texts:
+        b = (t or "").encode()
+        count.update(b[s : s + length] for s in range(len(b) - length + 1))
+    out = []
+    for t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for s in range(len(b) - length + 1):
+            if count[b[s : s + length]] > 1:
+                gone[s : s + length] = True
+        kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
+        spans = int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(b) else 0
+        out.append((len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_substring_dedup(spark, sf_dir):
+    import random
+
+    from tellgrid.llm.substring_dedup import remove_repeats
+
+    r = random.Random(4)
+    base = "".join(r.choice("abcé ") for _ in range(4000))
+    cases = [base[:900], base[400:1300], base[:900], "x" + base[700:880] + "y", "a" * 700, "ab" * 300 + base[100:330], base[2000:2250] + "Q" + base[2250:2600], base[2000:2600], "\0" * 450, ("z" + base[3000:3190]) * 3]
+    rows = [*ODD[:9], *((100 + i, t) for i, t in enumerate(cases)), *((300 + i, base[i : i + 400]) for i in range(0, 600, 7))]
+    for df in (make(spark, rows), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        data = [(x.doc_id, x.text) for x in df.collect()]
+        want = Counter((i, *w) for (i, _), w in zip(data, brute_repeats([t for _, t in data], 200), strict=True))
+        assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeats(df).collect()) == want
+    assert remove_repeats(empty(spark)).collect() == []
+
+
+def test_long_documents_are_cut_without_a_seam(monkeypatch):
+    from tellgrid.llm import substring_dedup as s
+
+    monkeypatch.setattr(s, "BUFFER", 300)
+    rng = np.random.default_rng(1)
+    text = bytes(rng.integers(97, 101, 2500, dtype=np.uint8))
+    starts = []
+    for data, owner, offset in s._buffers([text, b"short", text[:250]], 200):
+        _, _, start, count = s.find_runs(data, owner)
+        for a, n in zip(start, count, strict=True):
+            starts += [(owner[a], a + offset[a] + k) for k in range(n)]
+    assert sorted(starts) == [(0, i) for i in range(2301)] + [(2, i) for i in range(51)]
+
+
+def test_level_family_merges_geometrically():
+    from tellgrid.llm.substring_dedup import LevelFamily
+
+    rng = np.random.default_rng(2)
+    family = LevelFamily(50)
+    texts = [bytes(rng.integers(97, 99, 130, dtype=np.uint8)) for _ in range(40)]
+    texts += [texts[3][:60] + b"x" * 40, texts[7]]
+    for t in texts:
+        family.add([t], np.array([1]))
+    count = Counter(t[s : s + 50] for t in texts for s in range(len(t) - 49))
+    want = [count[t[s : s + 50]] > 1 for t in texts for s in range(len(t) - 49)]
+    assert family.repeats.tolist() == want
+    sizes = [len(k) for k, _ in family.levels]
+    assert sizes == sorted(sizes, reverse=True) and len(sizes) <= 8
+
+
+# --- 3: top-k --------------------------------------------------------------------------------
+
+
+def brute_topk(rows, every=20, k=20, scale=64):
+    good = [(i, np.floor(scale * np.array(v, float)).astype(object)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for q, a in {i: v for i, v in good if i % every == 0}.items():
+        scores = sorted((-int(sum(int(x) * int(y) for x, y in zip(a, b, strict=False))), i) for i, b in good if i != q)[:k]
+        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    return out
+
+
+def test_topk(spark, sf_dir):
+    from tellgrid.llm.topk import topk
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(90)]
+    rows += [(200, None), (220, []), (240, [1.0, None]), (260, [float("nan")] * 8), (280, [float("inf")] * 8), (300, [0.5, 0.25]), (320, [0.0] * 8), (400, [1e12] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("id", F.lit(2))
+    for kwargs in ({}, {"query_block": 3, "block": 11}):
+        assert {tuple(r) for r in topk(df, **kwargs).select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(rows)
+    assert topk(df.limit(0)).collect() == []
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = {tuple(r) for r in topk(own).select("query_id", "rank", "vec_id", "score").collect()}
+    assert got == brute_topk([(r.vec_id, r.embedding) for r in own.collect()])
+
+
+def test_threshold_stops_early():
+    from tellgrid.llm import topk as m
+
+    rng = np.random.default_rng(5)
+    c = np.floor(rng.exponential(size=(20000, 2)) * 500)  # two dimensions and long tails: the bound falls fast
+    ids = np.arange(20000)
+    q = np.array([[3.0, 1.0], [-2.0, 5.0]])
+    at, got, score = m.threshold_search(q, np.array([-1, -2]), c, ids, k=5)
+    for row in range(2):
+        s = (c @ q[row]).astype(int)
+        assert got[at == row].tolist() == np.lexsort((ids, -s))[:5].tolist()
+
+
+# --- 4: personal data --------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_pii(t):
+    found = []
+    for kind, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, t or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == 0 or (kind == 1 and all(int(p) <= 255 for p in m[0].split("."))) or (kind == 2 and 12 <= len(d) <= 19 and luhn(d)) or (kind == 3 and 9 <= len(d) <= 15):
+                found.append((m.start(), kind, m.end()))
+    return sorted(found)
+
+
+def test_pii(spark, sf_dir):
+    import random
+
+    from tellgrid.llm.pii import KINDS, find_personal_data
+
+    r = random.Random(2)
+    rows = [*ODD[:9], (20, "a@b.c_d@e.f x@y.z- a@b@c.com é@q.r ü@co.uk."), (21, "1.2.3.4.5.6.7.8 999.1.1.1 001.002.003.0004 1.2.3 4.5.6.7"), (22, "4111 1111 1111 1111 4111-1111-1111-1112"), (23, "+1 (778) 555-7072 +44 20 7946 0958 +1 +12")]
+    rows += [(100 + i, "".join(r.choice("01234 56789.-+@ab.c%_()é\n4111") for _ in range(r.randint(1, 80)))) for i in range(800)]
+    for df in (make(spark, rows), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        texts = {x.doc_id: x.text for x in df.collect()}
+        for x in find_personal_data(df).collect():
+            want = brute_pii(texts[x.doc_id])
+            line = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in want)
+            assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
+            assert x.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+            assert set(filter(None, line.split(","))) <= set(x.spans.split(","))
+    assert find_personal_data(empty(spark)).collect() == []
+
+
+def test_pii_pattern_finds_an_unseen_identifier(spark):
+    from tellgrid.llm.pii import find_personal_data
+
+    rows = [(i, f"please card no: {n} ok") for i, n in enumerate(["4111111111111111", "5500005555555559", "4012888888881881", "4222222222222220", "6011000990139424"])]
+    rows += [(50, "please card no: 4111111111111112 ok"), (51, "call the plain 4111111111111112 of it")]
+    got = {r.doc_id: (r.n_card, r.spans) for r in find_personal_data(make(spark, rows)).collect()}
+    assert got[50] == (0, "id:16:32") and got[51] == (0, "")
+
+
+def test_pii_is_native(spark):
+    from tellgrid.llm.pii import base_spans, token_occurrences
+
+    plan = spark.createDataFrame([("x",)], "text string").select(base_spans(F.col("text")), token_occurrences(F.col("text")))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# --- 5: mixing -----------------------------------------------------------------------------------
+
+
+def brute_targets(sizes):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    total, fixed = float(sum(sizes.values())), {}
+    while True:
+        left, w = total - sum(fixed.values()), sum(weight[s] for s in names if s not in fixed)
+        over = [s for s in names if s not in fixed and left * weight[s] / w > 3 * sizes[s] + 1e-9]
+        if not over:
+            return {s: fixed.get(s, left * weight[s] / w if w else 0.0) for s in names}
+        fixed |= {s: 3.0 * sizes[s] for s in over}
+
+
+def test_mixing(spark, sf_dir):
+    from tellgrid.llm.mixing import mix
+
+    rows = [(i, "w " * (i % 40), "x", ["a", "b", "c", None, "tiny", "ü"][min(5, i % 9)], 0) for i in range(900)] + [(9000, None, "x", "zero", 0), (9001, "w w", "x", "a", 0), (9001, "w w", "x", "a", 0)]
+    for df in (spark.createDataFrame(rows, DOCS).withColumn("size", F.lit("clash")), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        source = {r.doc_id: r.source for r in df.collect()}
+        got = mix(df).collect()
+        assert len(got) == df.count()
+        sizes, taken, largest = Counter(), Counter(), Counter()
+        for r in df.collect():
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+            sizes[r.source] += n
+            largest[r.source] = max(largest[r.source], n)
+        targets = brute_targets(dict(sizes))
+        for r in got:
+            s = source[r.doc_id]
+            taken[s] += r.taken
+            assert r.source_size == sizes[s] and r.target == pytest.approx(targets[s])
+            assert 0 <= r.taken <= 3 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        for s in sizes:
+            assert abs(taken[s] - targets[s]) <= max(1.0, largest[s])
+        again = mix(df.repartition(7)).collect()
+        assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    assert mix(spark.createDataFrame(rows[:1], DOCS).limit(0)).collect() == []
+
+
+def test_flight_keeps_both_totals():
+    from tellgrid.llm.mixing import fly
+
+    rng = np.random.default_rng(6)
+    size, p = rng.integers(1, 500, 3000).astype(float), np.full(3000, 0.37)
+    out = fly(p, size)
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert out.sum() == pytest.approx(p.sum()) and (out * size).sum() == pytest.approx((p * size).sum())
+    # inclusion is not driven by the size
+    taken = out > 0.5
+    assert abs(np.corrcoef(taken, size)[0, 1]) < 0.1 and abs(taken[:1500].mean() - taken[1500:].mean()) < 0.1
+
+
+# --- 6: SimHash -------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(t):
+    from xxhash import xxh64_intdigest
+
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return 0
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def brute_components(ids, fps, most=3):
+    up = list(range(len(fps)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= most:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    best = {}
+    for i, n in enumerate(ids):
+        r = find(i)
+        if n is not None:
+            best[r] = min(best.get(r, n), n)
+    return [best.get(find(i)) for i in range(len(ids))]
+
+
+def test_simhash(spark, sf_dir):
+    from tellgrid.llm.simhash import near_dedup
+
+    body = " ".join(f"word{i * 7 % 113}" for i in range(400))
+    rows = [*ODD, (30, body), (31, body + " extra"), (32, body.replace("word7 ", "other ", 1)), (33, body.upper()), (34, "one two"), (35, "ONE\ttwo")]
+    for df in (make(spark, rows), spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        data = [(r.doc_id, brute_fingerprint(r.text)) for r in df.collect()]
+        want = Counter((i, f"{f:016x}", c) for (i, f), c in zip(data, brute_components(*zip(*data, strict=True)), strict=True))
+        assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in near_dedup(df).collect()) == want
+    assert near_dedup(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_links_lose_nothing(spark, hot):
+    from tellgrid.llm.components import components
+    from tellgrid.llm.simhash import links
+
+    rng = np.random.default_rng(7)
+    fps = set()
+    for b in rng.integers(0, 1 << 63, 60):
+        fps.add(int(b))
+        for _ in range(8):
+            x = int(b)
+            for bit in rng.choice(64, rng.integers(1, 5), replace=False):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    fps |= {0, 1, 3, 7, 15, (1 << 64) - 1, 1 << 63}
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = {r.node: r.root for r in components(links(df, hot=hot)).collect()}
+    want = dict(zip(signed, brute_components(signed, fps), strict=True))
+    assert {x: got.get(x, x) for x in signed} == want
+
+
+def test_components_of_a_long_chain(spark):
+    from tellgrid.llm.components import components
+
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components(df).collect()}
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+# --- 7: language ---------------------------------------------------------------------------------------
+
+
+def test_language(spark, sf_dir):
+    import zlib
+
+    from tellgrid.llm.language_id import identify
+
+    own = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    got = identify(own).collect()
+    truth = {r.doc_id: r.lang for r in own.collect()}
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) >= 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    odd = {(r.doc_id, r.lang_pred) for r in identify(make(spark, ODD)).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und"), (None, "und")} <= odd and len(odd) >= 8
+    nothing = make(spark, ODD).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in identify(nothing).collect()} == {"und"}
+    assert identify(empty(spark)).collect() == []
+
+
+def test_language_does_not_read_labels_of_what_it_predicts(spark):
+    from tellgrid.llm.language_id import annotate, learn
+
+    rows = [(i, ("the and of to in " if i % 2 else "der die und das ist ") * 5) for i in range(80)]
+    model = learn(make(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de")))
+    df = make(spark, rows).withColumn("lang", F.lit("xx")).withColumn("doc_id", F.lit(0))
+    assert Counter(r.p for r in annotate(df, model, names=("p", "q")).collect()) == {"en": 40, "de": 40}
+
+
+# --- 9: URLs -----------------------------------------------------------------------------------------------
+
+
+def test_urls(spark, sf_dir, duck):
+    from tellgrid.llm.queries import OP9_SQL, op9_url_filter
+    from tellgrid.llm.url_filter import judge_urls
+    from tests.conftest import rows_of, rows_of_sql
+
+    assert rows_of(op9_url_filter(spark, sf_dir)) == rows_of_sql(duck, OP9_SQL)
+    cases = {
+        "https://WWW.Example.com/en/x?q=/a": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
+        "http://example.com/en/": ("example.com", "/en/", "example.com/en/", "block"),
+        "http://a.example.com/en/1": ("a.example.com", "/en/1", "example.com/en/", "block"),
+        "http://notexample.com/en/1": ("notexample.com", "/en/1", "com/", "allow"),
+        "ftp://x.net/es/#f": ("x.net", "/es/", "net/es/", "block"),
+        "http://x.net": ("x.net", "", None, "allow"),
+        "no scheme": ("", "", None, "allow"),
+        "": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "a://b://c/d": ("b:", "//c/d", None, "allow"),
+    }
+    df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("n", F.lit(1))
+    got = {r.page_id: (r.host, r.path, r.rule) for r in judge_urls(df).collect()}
+    assert got == {i: v[:3] for i, v in enumerate(cases.values())}
+    assert judge_urls(df.limit(0)).collect() == []
+
+
+def test_a_bad_host_is_blocked_by_its_posterior(spark):
+    from tellgrid.llm.url_filter import judge_urls
+
+    rows = [f"http://bad.net/fr/{i}" for i in range(40)] + ["http://bad.net/en/1"] + [f"http://good{i}.com/en/{i}" for i in range(40)] + ["http://other.org/x"]
+    got = {r.host + r.path: r.verdict for r in judge_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert got["bad.net/en/1"] == "block" and got["other.org/x"] == "allow"
+
+
+# --- 10: HTML -------------------------------------------------------------------------------------------------
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
+<nav><ul><li><a href="/">Home</a></li></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies</div>
+<div id="main"><article class="post"><h1>Head &amp; line</h1><p><b>First <i>para</i>.<br>More text of it that goes on for a while.<p>Second&nbsp;one
+ is   here and has enough words in it.</p><ul><li>item one<li>item two</ul><aside>Related</aside><div class="ad">Buy!</div><form><p>Sign up</p></form>
+<p>x &lt; y &#233;</p><script>var t = "</p>";</script><blockquote>Quoted words.</blockquote></article><section id="comments"><p>Reader says hello to all of you out there today.</p></section></div>
+<div class="sidebar"><p>Side text</p></div><footer>&copy; us</footer></body></html>"""
+
+
+def test_html(spark, sf_dir):
+    from tellgrid.llm.html_text import extract, main_text
+
+    assert main_text(PAGE).split("\n\n") == ["Head & line", "First para. More text of it that goes on for a while.", "Second one is here and has enough words in it.", "item one", "item two", "x < y é", "Quoted words."]
+    odd = {None: "", "": "", "plain text": "plain text", "<p>a<p>b": "a\n\nb", "<div": "<div", "<a href='x>y": "", "</p></div>": "", "<script>x": "", "a<!-- b": "a", "&amp;lt;": "&lt;", "<b>" * 3000 + "deep": "deep"}
+    for html, text in odd.items():
+        if html != "<a href='x>y":
+            assert main_text(html) == text, html
+        else:
+            main_text(html)
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(odd)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    assert all(r.n_chars == len(r.text) for r in extract(df).collect())
+    assert extract(df.limit(0)).collect() == []
+    import html as H
+
+    for r in extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = (" ".join(H.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", body))
+        assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def test_html_without_article_takes_the_dense_part():
+    from tellgrid.llm.html_text import main_text
+
+    links = "".join(f'<li><a href="/{i}">link number {i}</a></li>' for i in range(30))
+    body = "".join(f"<p>{'words of the story go on and on ' * 8}{i}</p>" for i in range(5))
+    text = main_text(f"<body><div><ul>{links}</ul></div><div><div><h2>Title</h2>{body}</div></div></body>")
+    assert "link number" not in text and text.startswith("Title") and text.count("\n\n") == 5
