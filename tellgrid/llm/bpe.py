@@ -183,9 +183,14 @@ def fold_distinct_words(words: DataFrame, ranks: dict[bytes, int], word_col: str
 
     def step(acc: Column, _: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.size(acc) - 1), lambda i: F.struct(rank(F.concat(F.element_at(acc, i), F.element_at(acc, i + 1))).alias("r"), i.alias("i")))
-        best = F.array_min(pairs)
-        merged = F.concat(F.slice(acc, F.lit(1), best["i"] - 1), F.array(F.concat(F.element_at(acc, best["i"]), F.element_at(acc, best["i"] + 1))), F.slice(acc, best["i"] + 2, F.size(acc)))
-        return F.when(F.size(acc) < 2, acc).otherwise(F.when(best["r"] == none, acc).otherwise(merged))
+
+        def join(best: Column) -> Column:
+            pair = F.array(F.concat(F.element_at(acc, best["i"]), F.element_at(acc, best["i"] + 1)))
+            merged = F.concat(F.slice(acc, F.lit(1), best["i"] - 1), pair, F.slice(acc, best["i"] + 2, F.size(acc)))
+            return F.when(best["r"] == none, acc).otherwise(merged)
+
+        # an array of one binds the best pair, so it is looked for once
+        return F.when(F.size(acc) < 2, acc).otherwise(F.get(F.transform(F.array(F.array_min(pairs)), join), F.lit(0)))
 
     folded = F.when(size == 0, F.array().cast("array<string>")).when(size == 1, F.array(raw)).otherwise(F.aggregate(F.sequence(F.lit(2), size), parts, step))
     return words.select(F.col(word_col).alias("word"), F.transform(folded, rank).alias("ids"))
