@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """At most four tasks for each core of the cluster, so that small results do not become very many files.
+
+    Tasks read several partitions one after the other; nothing is shuffled and
+    no core is left idle.
+    """
+    return df.coalesce(4 * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
@@ -25,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tellgrid-ck-"))
-    return df.checkpoint(eager=True)
+    return narrowed(df).checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -67,5 +76,5 @@ def cut_table(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tellgrid-ck-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    narrowed(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,9 +34,7 @@ _RUNS = "id long, sha string, first_id long, n long, head boolean, edge boolean,
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal neighbours in one sorted range; holds one run's ids and one batch."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+    part = -1
     open_ids: list[pa.Array] = []
     open_norm = open_sha = None
     first = True
@@ -67,6 +65,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         ids, sha, norm = (batch.column(batch.schema.get_field_index(k)) for k in ("id", "sha", "norm"))
+        part = batch.column(batch.schema.get_field_index("part"))[0].as_py()
         new = np.ones(batch.num_rows, bool)
         new[1:] = ~pc.equal(norm[1:], norm[:-1]).to_numpy(zero_copy_only=False)
         new[0] = open_norm is None or norm[0].as_py() != open_norm
@@ -99,7 +98,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = ["prefix", "sha", F.col("id").asc_nulls_last()]
     ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions("prefix", "sha", "norm", F.col("id").asc_nulls_last())
-    runs = cut(ranged.select("id", "sha", "norm").mapInArrow(_runs, _RUNS))
+    runs = cut(ranged.select("id", "sha", "norm", F.spark_partition_id().alias("part")).mapInArrow(_runs, _RUNS))
     # Runs at the edges of ranges: two a range at most, so their table is bounded by the number of ranges.
     joined = (
         runs.where("edge and head")
