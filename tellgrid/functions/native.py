@@ -167,7 +167,8 @@ def swap_words(text: Column | str, table: Mapping[str, str], boundary: str = "0-
     keys = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
 
     def one(w: Column) -> Column:
-        to = F.element_at(keys, F.lower(w))
+        # a set of literals is hashed, a map is scanned: only words that are keys are looked up in it
+        to = F.when(F.lower(w).isin(*table), F.element_at(keys, F.lower(w)))
         caps = (w == F.upper(w)) & (w != F.lower(w))
         lead = w.rlike("^[A-Z]")
         return F.when(to.isNull(), w).when(caps, F.upper(to)).when(lead, F.concat(F.upper(F.substring(to, 1, 1)), F.substring(to, 2, 1 << 20))).otherwise(to)

@@ -13,7 +13,7 @@ from tellgrid.operators import documents as ops
 from tellgrid.operators import tables
 from tellgrid.plans import fixed_values as fixed
 from tellgrid.plans.dialect import spelling_map, spelling_pairs
-from tellgrid.plans.profile import Profile, default_profile, load_preset, preset_names
+from tellgrid.plans.profile import Profile, Voice, default_profile, load_preset, preset_names, resolve
 from tellgrid.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +480,79 @@ def dedupe_findings(spark, sf_dir):
     return best.select("g", F.col("offset").alias("pos"), F.col("match").alias("m"), F.col("replacement").alias("repl"), F.col("order.o").alias("ord"))
 
 
+# --- protection, voices and reports: known prefixes before documents -----------------------
+
+_CHARS = Profile(charReplace=fixed.CHAR_REPLACE)
+
+
+def _prefixed(name: str, profile: Profile, prefix: str, expected: str) -> None:
+    """The cleaned prefix and the untouched document, under a profile that finds nothing in documents."""
+
+    def run(spark, sf_dir):
+        return _docs(spark, sf_dir).select("doc_id", columns.clean(F.concat(F.lit(prefix), "text"), profile).alias("text"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, concat({_lit(expected)}, text) AS text FROM documents")(run)
+
+
+_prefixed("link_destinations_kept", _CHARS, "see [a — b](http://x.test/a—b) and <http://y.test/—> — ", "see [a ,  b](http://x.test/a—b) and <http://y.test/—> ,  ")
+_prefixed("fenced_code_kept", _CHARS, "```\na — b\n```\nc—d\n", "```\na — b\n```\nc, d\n")
+_prefixed("inline_code_kept", _CHARS, "run `a — b` or ``c ` — d`` e—f\n", "run `a — b` or ``c ` — d`` e, f\n")
+_prefixed("indented_code_kept", _CHARS, "\n    a — b\n\nc—d\n", "\n    a — b\n\nc, d\n")
+_prefixed("front_matter_kept", _CHARS, "---\nt: a — b\n---\nc—d\n", "---\nt: a — b\n---\nc, d\n")
+_prefixed("silenced_lines_kept", _CHARS, "a—b <!-- prose-ignore -->\n<!-- prose-ignore-next-line -->\nc—d\ne—f\n", "a—b <!-- prose-ignore -->\n<!-- prose-ignore-next-line -->\nc—d\ne, f\n")
+_prefixed("reference_definitions_kept", _CHARS, "[a]: http://x.test/— title —\n:rocket-man: { .a—b } c—d\n", "[a]: http://x.test/— title —\n:rocket-man: { .a—b } c, d\n")
+_prefixed("quotes_kept", Profile(wordReplace={"leverage": "use"}, protectQuotes=True), 'He said "we leverage it" and “we leverage”, we leverage\n', 'He said "we leverage it" and “we leverage”, we use\n')
+_prefixed("allowed_phrases_kept", Profile(wordReplace={"robust": "solid"}, allow=("robust regression",)), "a robust\nregression is robust\n", "a robust\nregression is solid\n")
+_prefixed("allowed_words_kept", Profile(wordReplace={"robust": "solid", "myriad": "many"}, allow=("Myriad",)), "myriad robust\n", "myriad solid\n")
+_prefixed("names_kept", Profile(wordReplace={"seamless": "smooth"}), "We use Seamless. Seamless helps, SEAMLESS too, seamless\n", "We use Seamless. Smooth helps, SMOOTH too, smooth\n")
+_prefixed("swaps_happen_once", Profile(wordReplace={"leverage": "make leverage of", "robust": "seamless", "seamless": "robust"}), "leverage robust seamless\n", "make leverage of seamless robust\n")
+_prefixed("voice_over_preset", resolve(load_preset("marketing"), ["corporate"], Voice(keep=("bandwidth",), prefer={"learnings": "notes", "touch base": "meet"})), "bespoke bandwidth learnings touch base\n", "custom bandwidth notes meet\n")
+_prefixed("dropped_words", Profile(wordReplace={"seamlessly": ""}), "Seamlessly it runs. It seamlessly runs\n", "It runs. It runs\n")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_lit('An hour, a user; an FAQ. X, y. It ends.')} ELSE {_lit('Fine as it is.')} END AS text FROM documents")
+def tidy_rules(spark, sf_dir):
+    messy = F.when(F.col("doc_id") % 2 == 0, F.lit("A hour ,  an user; a FAQ. , x ,, y,. It ends .")).otherwise("Fine as it is.")
+    p = Profile(collapseSpaces=True, fixArticles=True)
+    return _docs(spark, sf_dir).select("doc_id", messy.alias("t")).select("doc_id", columns.clean("t", p).alias("text"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, string_split_regex(text, {_lit(native.any_word(fixed.BLOCK_WORDS))})[1] AS prefix, regexp_extract(text, {_lit(native.any_word(fixed.BLOCK_WORDS))}) AS w
+      FROM {_INJECTED} WHERE regexp_matches(text, {_lit(native.any_word(fixed.BLOCK_WORDS))}))
+    SELECT doc_id, concat('doc', doc_id, ':', 1 + length(prefix) - length(replace(prefix, chr(10), '')), ':', length(string_split(prefix, chr(10))[-1]) + 1, ' word:', lower(w), ': "', w, '"') AS line FROM s"""
+)
+def report_lines(spark, sf_dir):
+    d = ops.check(injected(spark, sf_dir), Profile(blockWords=fixed.BLOCK_WORDS))
+    return d.where(F.size("findings") > 0).select("doc_id", native.report_line(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.get("findings", F.lit(0))).alias("line"))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, {_lit(native.any_word(fixed.BLOCK_WORDS))}))::BIGINT AS marked, text FROM {_INJECTED}")
+def highlight_segments(spark, sf_dir):
+    d = ops.check(injected(spark, sf_dir), Profile(blockWords=fixed.BLOCK_WORDS)).select("doc_id", ops.segments(F.col("text"), F.col("findings")).alias("s"))
+    return d.select("doc_id", F.size(F.filter("s", lambda x: x["rule"].isNotNull())).cast("long").alias("marked"), F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"))
+
+
+@query("SELECT doc_id, concat('12', CASE WHEN doc_id % 2 = 0 THEN '|99' ELSE '' END) AS dropped, CASE WHEN doc_id % 2 = 0 THEN '7' ELSE '' END AS added FROM documents")
+def anchor_drift(spark, sf_dir):
+    odd = F.col("doc_id") % 2 == 0
+    d = _docs(spark, sf_dir).select("doc_id", F.when(odd, "12 of 5 and 99").otherwise("12 of 5").alias("b"), F.when(odd, "5 and 7").otherwise("5").alias("a"))
+    return ops.anchor_drift(d, "b", "a").select("doc_id", F.array_join("dropped", "|").alias("dropped"), F.array_join("added", "|").alias("added"))
+
+
+@query("SELECT note FROM (SELECT source AS note, row_number() OVER (PARTITION BY lower(trim(source)) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def tone_merge(spark, sf_dir):
+    first = Window.partitionBy(F.lower(F.trim("source"))).orderBy("doc_id")
+    return _docs(spark, sf_dir).withColumn("n", F.row_number().over(first)).where("n = 1").select(F.col("source").alias("note"))
+
+
+@query(f"SELECT conv_id, turn::BIGINT AS turn, strlen(t)::BIGINT AS bytes, {_words_sql('t')}::BIGINT AS words FROM (SELECT conv_id, turn, text AS t FROM conversations)")
+def turn_sizes(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", F.col("turn").cast("long").alias("turn"), F.octet_length("text").cast("long").alias("bytes"), native.word_count("text").alias("words"))
+
+
 # --- streams and states as batches -----------------------------------------------------
 
 
