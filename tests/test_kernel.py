@@ -75,9 +75,9 @@ def test_scores():
     flat = DEFAULT.score("One two three. Four five six. Seven eight nine.")
     assert (flat.cadence_cv, flat.cadence, flat.value) == (0.0, 20, 20)
     assert DEFAULT.score("It may generally work. It could possibly fail.").hedging > 0
-    slop = "In summary, we leverage a robust, seamless and comprehensive plan."
-    padded = slop + "\n\n```\n" + "code here\n" * 50 + "```\n"
-    assert abs(DEFAULT.score(slop).value - DEFAULT.score(padded).value) <= 5
+    dense = "In summary, we leverage a robust, seamless and comprehensive plan."
+    padded = dense + "\n\n```\n" + "code here\n" * 50 + "```\n"
+    assert abs(DEFAULT.score(dense).value - DEFAULT.score(padded).value) <= 5
 
 
 def test_documented_score_drops_to_zero():
