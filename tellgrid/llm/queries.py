@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellgrid.llm.common import table
+from tellgrid.sources.readers import spread
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,14 +17,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.bpe import decode, encode, load_ranks
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    done = decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    done = decode(encode(spread(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN), ranks)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.substring_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(spread(table(spark, sf_dir, "documents"))).drop("kept")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +48,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.simhash import near_dedup
 
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.language_id import identify
 
-    return identify(table(spark, sf_dir, "documents"))
+    return identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ FROM v LEFT JOIN post ON v.host = post.host
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.html_text import extract
 
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread(table(spark, sf_dir, "pages")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
