@@ -33,6 +33,9 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_VALUE = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_INVISIBLE = re.compile(r"\baria-hidden\s*=\s*[\"']?true|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 #: Elements whose content is not markup.
 _RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -87,7 +90,10 @@ def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
         for w in _split_words.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
             if w in _OUT_WORDS and not (in_article and w in _HEADER_WORDS):
                 return True
-    return bool(re.search(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attrs, re.I)) if "hidden" in attrs or "none" in attrs else False
+    if "hidden" not in attrs and "none" not in attrs:
+        return False
+    # the bare attribute, not a word in another one's value
+    return bool(_HIDDEN.search(_VALUE.sub('""', attrs)) or _INVISIBLE.search(attrs))
 
 
 def main_text(html: str | None) -> str:

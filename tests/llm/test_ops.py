@@ -481,6 +481,13 @@ def test_html(spark, sf_dir):
         assert r.text == "\n\n".join(b for b in blocks if b)
 
 
+def test_html_hidden_parts():
+    from tellgrid.llm.html_text import main_text
+
+    page = '<article><p style="overflow:hidden">a</p><p hidden>b</p><p style="display: none">c</p><p aria-hidden="true">d</p><p class="x" data-none="hidden">e</p></article>'
+    assert main_text(page) == "a\n\ne"
+
+
 def test_html_without_article_takes_the_dense_part():
     from tellgrid.llm.html_text import main_text
 
