@@ -78,7 +78,7 @@ def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in _OUT or (tag == "header" and not in_article):
         return True
     if "=" not in attrs:
-        return False
+        return "hidden" in attrs and bool(_HIDDEN.search(attrs))
     for m in _NAMED.finditer(attrs):
         value = m[1] or m[2] or m[3] or ""
         key = m[0][:2].lower()
