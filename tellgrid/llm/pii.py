@@ -35,8 +35,9 @@ CARD = r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An identifier-like token: six characters or more, a digit among its first 64.
 TOKEN = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]{0,64}[0-9])[A-Za-z0-9@._%+-]{5,}[A-Za-z0-9]"
-#: What stands before a token: a word with the signs and blanks after it.
-CUE = r"([\p{L}_-]{1,24}[\x20\t]*[:=#]?[\x20\t]*[\"'(<\[]?)$"
+#: What stands before a token: a label, which is a word with a sign and the blanks around it.  A bare word is no cue:
+#: "the" before a number says nothing about the number.
+CUE = r"([\p{L}_-]{1,24}[\x20\t]*[:=#][\x20\t]*[\"'(<\[]?)$"
 #: Rounds of scoring, least confidence, least sum of the trust of distinct instances, trust handed on.
 ROUNDS, CONFIDENCE, SUPPORT, DECAY = 3, 0.5, 3.0, 0.8
 
