@@ -316,7 +316,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
     runs = cut_table(rows.where(F.octet_length("text") >= length).select("id", "th", "text").mapInArrow(_scan(length, gram), "mh long, ch long, id long, th long, start int, r int"))
     groups = runs.groupBy("mh").agg(F.count("*").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1")
-    hits = cut_table(runs.join(groups.select(F.col("mh").alias("m"), (F.col("lo") != F.col("hi")).alias("mixed")), F.col("mh") == F.col("m")).drop("m"))
+    # a table of its own: a join that reads plain shuffles on both sides can split the runs of a gram that very many documents share
+    groups = cut_table(groups.select(F.col("mh").alias("m"), (F.col("lo") != F.col("hi")).alias("mixed")))
+    hits = cut_table(runs.join(groups, F.col("mh") == F.col("m")).drop("m"))
 
     # a bitmap of fixed size over the documents with a hit: 2,048 rows of 4 KB at most
     spot = F.pmod(F.xxhash64("id", "th"), F.lit(BITMAP))
