@@ -17,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def narrowed(df: DataFrame) -> DataFrame:
-    """At most four tasks for each core of the cluster, so that small results do not become very many files.
+    """Fewer tasks, so that small results do not become very many files.
 
-    Tasks read several partitions one after the other; nothing is shuffled and
-    no core is left idle.
+    At least four tasks stay for each core of the cluster, and a task reads at
+    most about eight shuffle partitions, one after the other, at any size of
+    the input; nothing is shuffled.
     """
-    return df.coalesce(4 * max(1, df.sparkSession.sparkContext.defaultParallelism))
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, partitions(spark) // 8))
 
 
 def cut(df: DataFrame) -> DataFrame:
