@@ -115,6 +115,13 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_small_tables_are_spread(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert readers.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() == cores
+    assert readers.spread(spark.range(10).repartition(cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
 def test_errors_come_before_jobs(spark, docs):
     with pytest.raises(UnknownPresetError):
         ops.check(docs, resolve(presets=["nope"]))
