@@ -29,8 +29,8 @@ from tellgrid.llm.common import WORD, cut, text_or_empty
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often than this.
 MOST = 3
-#: Rows of one flight block.
-BLOCK = 20_000
+#: Rows of one flight block; a large source has many blocks.
+BLOCK = 2_000
 #: Sources up to which their table (two numbers each) is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 _EPS = 1e-9
