@@ -14,7 +14,7 @@ from tellgrid.llm.common import SPACE, cut_table, table, text_or_empty
 from tellgrid.llm.exact_dedup import content_sort
 from tellgrid.llm.language_id import UNDETERMINED, annotate, learn
 from tellgrid.llm.mixing import mix, words
-from tellgrid.llm.simhash import near_dedup
+from tellgrid.llm.near_copies import near_copies
 
 #: Least posterior probability of a document's language.
 LEAST_SCORE = 0.5
@@ -38,8 +38,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one that names the group."""
-    rep = near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id")).distinct()
+    """One document of each group of near copies (Jaccard 0.8 or more of five-word shingles): the one that names the group."""
+    rep = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id")).distinct()
     return docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(rep, "__id", "left_semi").select(*docs.columns)
 
 

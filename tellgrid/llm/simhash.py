@@ -42,26 +42,35 @@ SLICE = 2 << 20
 _spaces = re.compile(rb"[\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The unsigned 64-bit hash of each word shingle; a text of fewer words is one shingle, a blank one has none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxh64_intdigest(b" ".join(words), seed)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
-    h = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def voted(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    return voted(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 

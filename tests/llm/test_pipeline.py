@@ -68,3 +68,42 @@ def test_stages_on_an_empty_table(spark, sf_dir):
     docs = _docs(spark).limit(0)
     for _, stage in c.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_near_copies_as_brute_force_jaccard(spark, sf_dir):
+    import random
+
+    import corpus_pipeline as c
+
+    r = random.Random(7)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randint(0, 400)}" for _ in range(r.choice((3, 5, 12, 80, 300)))]
+        texts.append(words)
+        for edits in range(6):  # copies on both sides of the limit
+            copy = list(words)
+            for _ in range(edits if len(words) > 20 else edits // 4):
+                copy[r.randrange(len(copy))] = f"x{r.randint(0, 400)}"
+            texts.append([w.upper() if edits == 5 else w for w in copy])
+    footer = [f"f{i}" for i in range(60)]
+    texts += [[f"y{r.randint(0, 400)}" for _ in range(15)] + footer for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, " "), (901, None)]
+    own = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for data in (rows, own):
+        sets = []
+        for _, t in data:
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        up = list(range(len(data)))
+        far = 0  # linked pairs that fingerprints within three bits do not link
+        for i in range(len(data)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                    far += bin(brute_fingerprint(data[i][1]) ^ brute_fingerprint(data[j][1])).count("1") > 3
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if x in (a, b) else x for x in up]
+        want = Counter(data[i][0] for i in range(len(data)) if data[i][0] == min(data[j][0] for j in range(len(data)) if up[j] == up[i]))
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], DOCS)
+        assert Counter(x.doc_id for x in c.near(spark, docs, sf_dir).collect()) == want
+        assert data is own or far > 20
