@@ -6,7 +6,10 @@ and the node of the largest sum carries the main text.  The smallest density
 on its path from the body is the threshold: subtrees beside the path that
 reach it are main text too.  Elements that are never part of an article
 (menus, page headers and footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments) are left out by their tag, role, class or id.
+styles, reader comments) are left out by their tag, role, class or id; a
+class or id counts as a whole token, without its place or state.  Names yield
+to the text: an element that holds an article or main element, or over half
+of the body's visible text, is never left out by them.
 
 Defined results: a null or empty html, and a page without text, gives the
 empty string and 0 characters; markup that is broken or unclosed is read as
@@ -60,40 +63,93 @@ _ENDS = {
 #: Never main text.
 _OUT = set("head script style template noscript nav aside footer form button select textarea input label fieldset iframe object embed svg canvas menu dialog noembed noframes xmp title audio video map".split())
 _OUT_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of a class or id that mark the same.
+#: Tags that are left out whatever they hold: their content is no text of the page.
+_NO_TEXT = set("head script style template noscript button select textarea input label iframe object embed svg canvas noembed noframes xmp title audio video map".split())
+#: Tokens of a class or id that mark the same; a compound is marked if all its words are marks or neutral.
 _OUT_WORDS = set(
     "nav navbar navigation menu menus submenu sidebar sidebars aside footer foot header masthead topbar ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promotion "
     "banner banners cookie cookies consent gdpr notice notices notification alert popup popover modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "breadcrumb breadcrumbs pagination pager comment comments commentlist disqus respond replies reply widget widgets toolbar search form skip".split()
 )
+_NEUTRAL_WORDS = set(
+    "left right top bottom main primary secondary site page global inner outer wrapper wrap container box block area section list item items content links link bar panel column col unit slot text title "
+    "the of for and to us our post posts entry entries article articles story recent email mail social media wp".split()
+)
+#: Words of a token that tells a state or a layout of what holds it, not what it is.
+_STATE_WORDS = set("no not non without has have with is are hide hidden show shown off on open opened closed enabled disabled active inactive fixed sticky static collapsed expanded visible allowed allow".split())
 #: Words that do not count inside an article: its own headline may stand there.
 _HEADER_WORDS = {"header", "masthead", "banner"}
 _KEPT = {"html", "body", "article", "main"}
 _split_words = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
+def _marks(token: str) -> set[str]:
+    """The words by which a class or id token marks its element, if it does as a whole."""
+    words = {w for w in _split_words.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if len(w) > 1}
+    marks = words & _OUT_WORDS
+    return marks if marks and words <= _OUT_WORDS | _NEUTRAL_WORDS and not words & _STATE_WORDS else set()
+
+
+def _left_out(tag: str, attrs: str, in_article: bool) -> int:
+    """2: never text; 1: left out unless it holds the text; 0: not left out."""
     if tag in _KEPT:
-        return False
-    if tag in _OUT or (tag == "header" and not in_article):
-        return True
+        return 0
+    if tag in _NO_TEXT:
+        return 2
+    soft = tag in _OUT or (tag == "header" and not in_article)
     if "=" not in attrs:
-        return "hidden" in attrs and bool(_HIDDEN.search(attrs))
-    for m in _NAMED.finditer(attrs):
+        return 2 if "hidden" in attrs and _HIDDEN.search(attrs) else int(soft)
+    # the bare attribute, not a word in another one's value
+    if ("hidden" in attrs or "none" in attrs) and (_HIDDEN.search(_VALUE.sub('""', attrs)) or _INVISIBLE.search(attrs)):
+        return 2
+    for m in () if soft else _NAMED.finditer(attrs):
         value = m[1] or m[2] or m[3] or ""
-        key = m[0][:2].lower()
-        if key == "ro":
+        if m[0][:2].lower() == "ro":
             role = value.strip().lower()
-            if role in _OUT_ROLE and not (in_article and role == "banner"):
-                return True
-            continue
-        for w in _split_words.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()):
-            if w in _OUT_WORDS and not (in_article and w in _HEADER_WORDS):
-                return True
-    if "hidden" not in attrs and "none" not in attrs:
-        return False
-    # the bare attribute, not a word in another one's value
-    return bool(_HIDDEN.search(_VALUE.sub('""', attrs)) or _INVISIBLE.search(attrs))
+            soft = soft or (role in _OUT_ROLE and not (in_article and role == "banner"))
+        else:
+            soft = soft or any(not in_article or marks - _HEADER_WORDS for marks in map(_marks, value.split()) if marks)
+    return int(soft)
+
+
+def _outs(tags: list[str], parents: list[int], last: list[int], marks: list[int], runs: list[tuple[int, int, str]]) -> list[bool]:
+    """For each node whether it is left out; names yield to the text."""
+    n = len(tags)
+    gone = [False] * n  # never text
+    for i in range(1, n):
+        gone[i] = gone[parents[i]] or marks[i] == 2
+    if 1 in marks:
+        chars = [0] * n
+        for node, _, text in runs:
+            if not gone[node]:
+                chars[node] += len(text) - text.count(" ") - text.count("\n")
+        own = list(chars)
+        for i in range(n - 1, 0, -1):
+            chars[parents[i]] += chars[i]
+            if marks[i] != 1 and tags[i] not in ("article", "main"):
+                own[parents[i]] += own[i]  # without marked parts and inner articles
+        depth = [0] * n  # marked elements around
+        for i in range(1, n):
+            depth[i] = depth[parents[i]] + (marks[i] == 1)
+        cores = [i for i in range(n) if tags[i] in ("article", "main") and chars[i]]
+        least = min((depth[i] for i in cores if own[i]), default=0)
+        body = next((i for i in range(n) if tags[i] == "body"), 0)
+        holds = [False] * n
+        for i in cores:
+            up = i
+            while up >= 0 and depth[i] == least and own[i] and not holds[up]:
+                holds[up] = True
+                up = parents[up]
+        for i in range(1, n):
+            if marks[i] != 1:
+                continue
+            inner = any(i < c <= last[i] for c in cores)
+            if holds[i] or (2 * chars[i] > chars[body] and (inner or not any(own[c] for c in cores))):
+                marks[i] = 0
+    outs = [False] * n
+    for i in range(1, n):
+        outs[i] = outs[parents[i]] or marks[i] > 0
+    return outs
 
 
 def main_text(html: str | None) -> str:
@@ -101,7 +157,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     # node: tag, parent; nodes are numbered in page order, so a subtree is a range
-    tags, parents, last, outs = ["#root"], [-1], [0], [False]
+    tags, parents, last, marks = ["#root"], [-1], [0], [0]
     runs: list[tuple[int, int, str]] = []  # node, block, raw text
     stack, in_article, block, at, n = [0], 0, 0, 0, len(html)
     open_count: dict[str, int] = {}
@@ -163,7 +219,7 @@ def main_text(html: str | None) -> str:
         tags.append(tag)
         parents.append(parent)
         last.append(node)
-        outs.append(outs[parent] or _left_out(tag, attrs, in_article > 0))
+        marks.append(_left_out(tag, attrs, in_article > 0))
         if tag in _VOID:
             if tag == "br":
                 runs.append((parent, block, " "))
@@ -182,6 +238,7 @@ def main_text(html: str | None) -> str:
             in_article += 1
     pop_to(1)
     last[0] = len(tags) - 1
+    outs = _outs(tags, parents, last, marks, runs)
     live = [(node, b, unescape(raw) if "&" in raw else raw) for node, b, raw in runs if not outs[node]]
     if not live:
         return ""

@@ -495,3 +495,19 @@ def test_html_without_article_takes_the_dense_part():
     body = "".join(f"<p>{'words of the story go on and on ' * 8}{i}</p>" for i in range(5))
     text = main_text(f"<body><div><ul>{links}</ul></div><div><div><h2>Title</h2>{body}</div></div></body>")
     assert "link number" not in text and text.startswith("Title") and text.count("\n\n") == 5
+
+
+def test_html_names_yield_to_the_text():
+    from tellgrid.llm.html_text import main_text
+
+    story = "".join(f"<p>{'words of the story go on and on ' * 8}{i}</p>" for i in range(5))
+    want = main_text(f"<body><article>{story}</article></body>")
+    side, comments = '<div class="sidebar"><p>Side text</p></div>', '<div id="comments"><article><p>A reader says so.</p></article></div>'
+    around = ('<div class="page no-sidebar">', '<div id="header-fixed">', '<div class="post comments-open">', '<div class="widget">', "<form>", '<div role="form">', "<aside>")
+    for opened in around:
+        closed = f"</{re.match(r'<([a-z]+)', opened)[1]}>"
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div>{story}</div>"):
+            assert main_text(f"<body>{opened}{inner}{side}{comments if 'div>' not in inner[:5] else ''}{closed}</body>") == want, (opened, inner[:9])
+    # what is beside the article stays out, however long
+    assert main_text(f'<body><article>{story}</article><div class="comment-list">{story * 3}</div></body>') == want
+    assert main_text(f'<body><main><div class="widget"><article>{story}</article></div></main></body>') == want
