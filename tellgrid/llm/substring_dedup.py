@@ -1,4 +1,4 @@
-"""Exact substring dedup with a logarithmic family of suffix arrays (operator 2).
+"""Substring dedup with a logarithmic family of sorted windows (operator 2).
 
 A byte goes when a string of ``length`` bytes that covers it also starts
 anywhere else.  Every such string (a window) is filed under one of its own
@@ -6,11 +6,12 @@ anywhere else.  Every such string (a window) is filed under one of its own
 neighbouring windows under one gram form a run, the unit that is shuffled.
 
 * Grams that occur once cannot hold a repeat.  Where all runs of a gram are
-  alike, all their windows repeat.
+  alike, all their windows repeat; alike means equal 64-bit hashes, and the
+  bytes of these are not compared.
 * The rest (edges of repeats, edited copies) is dealt by gram with its bytes.
-  A shard reads it in batches: a batch gets a suffix array (its windows sorted
-  by leading bytes, then by a hash of all ``length`` bytes), is merge-scanned
-  against the shard's existing levels, and is then added as a level; levels of
+  A shard reads it in batches: a batch's windows are sorted (by eight leading
+  bytes, then by a hash of all ``length`` bytes), looked up in the shard's
+  existing levels by binary search, and then added as a level; levels of
   equal size merge geometrically.  Equal neighbours are compared in full.
 
 Runs that are alike are counted before they are shuffled, so a passage that
@@ -158,7 +159,7 @@ def _scan(length: int, gram: int):
 
 
 class LevelFamily:
-    """Suffix arrays of windows in levels of doubling size; ``add`` says which windows repeat."""
+    """Sorted windows in levels of doubling size; ``add`` says which windows repeat."""
 
     def __init__(self, length: int = LENGTH) -> None:
         self.length = length
@@ -198,7 +199,7 @@ class LevelFamily:
         keys = key.view("S16").ravel()
         order = np.argsort(keys, kind="stable")
         keys, own = keys[order], numbers[order]
-        # the batch's own suffix array: equal neighbours repeat
+        # the batch's own sorted windows: equal neighbours repeat
         same = np.flatnonzero(keys[1:] == keys[:-1])
         same = same[self._equal(own[same], own[same + 1])]
         self.repeats[own[same]] = self.repeats[own[same + 1]] = True
