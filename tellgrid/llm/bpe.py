@@ -12,8 +12,9 @@ distinct word and would need every word of every document shuffled to its ids
 (figures in the README), so it serves vocabularies, not whole corpora.
 
 Defined results: a null text is encoded as the empty text (no ids, empty
-decoded bytes); repeated rows and ties of ids are encoded row by row; an empty
-table gives an empty result; other columns are neither read nor returned.
+decoded bytes); a very long text is encoded whole, its matches listed some at
+a time; repeated rows and ties of ids are encoded row by row; an empty table
+gives an empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -23,20 +24,23 @@ import heapq
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.llm.common import sliced
+from tellgrid.llm.common import sliced, small_batches, text_or_empty
 
-#: Distinct pieces that a worker remembers; beyond them it starts anew.
-CACHE = 300_000
+#: Distinct pieces that a task remembers; beyond them it starts anew.
+CACHE = 1 << 17
 #: Pieces of more bytes are merged with a heap instead of repeated scans.
 LONG = 96
 #: Bytes of text worked on at once.
 SLICE = 4 << 20
+#: Characters of a text from which its matches are listed some at a time.
+STRETCH = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,61 +100,88 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-#: A worker's compiled pattern and remembered pieces, by the identity of its broadcast table.
-_memo: dict[int, tuple] = {}
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids: the ids packed as little-endian unsigned 32-bit integers."""
-    table = docs.sparkSession.sparkContext.broadcast(ranks)  # one tokenizer's vocabulary, a fixed size
+def _encoder(table, pattern: str):
+    """Batches of (doc_id, text) -> (doc_id, n_tokens, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        value = table.value
-        state = _memo.get(id(value))
-        if state is None:
-            _memo.clear()
-            state = _memo[id(value)] = (value, regex.compile(pattern).findall, {})
-        _, findall, known = state
+        ranks, compiled = table.value, regex.compile(pattern)
+        known: dict[str, bytes] = {}  # of this task only: what a worker keeps after a stage is lost to the next one
         for batch in sliced(batches, "text", SLICE):
             ids: list[bytes] = []
             for text in batch.column(1).to_pylist():
-                if not text:
-                    ids.append(b"")
-                    continue
-                pieces = findall(text)
-                try:
-                    ids.append(b"".join([known[p] for p in pieces]))
-                except KeyError:
-                    if len(known) > CACHE:
-                        known.clear()
-                    for p in set(pieces):
-                        if p not in known:
-                            known[p] = np.array(merge(p.encode(), value), "<u4").tobytes()
-                    ids.append(b"".join([known[p] for p in pieces]))
+                parts = []
+                for pieces in _stretches(compiled, text):
+                    try:
+                        parts.append(b"".join([known[p] for p in pieces]))
+                    except KeyError:
+                        if len(known) > CACHE:
+                            known.clear()
+                        for p in set(pieces):
+                            if p not in known:
+                                known[p] = np.array(merge(p.encode(), ranks), "<u4").tobytes()
+                        parts.append(b"".join([known[p] for p in pieces]))
+                ids.append(parts[0] if len(parts) == 1 else b"".join(parts))
             lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """The encoded rows with ``decoded``: the concatenated bytes of their ids."""
-    size = max(ranks.values(), default=-1) + 1
-    pieces = [b""] * size
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    table = encoded.sparkSession.sparkContext.broadcast(pieces)
+def _stretches(compiled, text: str) -> Iterator[list[str]]:
+    """The matches of a text; of a very long one some at a time."""
+    if len(text) <= STRETCH:
+        yield compiled.findall(text)
+        return
+    matches = compiled.finditer(text)
+    while pieces := [m[0] for m in islice(matches, STRETCH // 8)]:
+        yield pieces
+
+
+def _decoder(table):
+    """Batches of (doc_id, n_tokens, ids) -> the same with ``decoded``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = table.value.__getitem__
+        ranks = table.value
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
         for batch in sliced(batches, "ids", SLICE):
-            out = [b"".join(map(piece, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in batch.column(2)]
+            out = [b"".join(map(pieces.__getitem__, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return run
+
+
+_IDS, _DECODED = "doc_id long, n_tokens long, ids binary", "doc_id long, n_tokens long, ids binary, decoded binary"
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids: the ids packed as little-endian unsigned 32-bit integers."""
+    table = docs.sparkSession.sparkContext.broadcast(ranks)  # one tokenizer's vocabulary, a fixed size
+    return _rows(docs, id_col, text_col).mapInArrow(_encoder(table, pattern), _IDS)
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """The encoded rows with ``decoded``: the concatenated bytes of their ids."""
+    table = encoded.sparkSession.sparkContext.broadcast(ranks)
+    return small_batches(encoded).select("doc_id", "n_tokens", "ids").mapInArrow(_decoder(table), _DECODED)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one stage, so that a task needs one Python worker and one table."""
+    table = docs.sparkSession.sparkContext.broadcast(ranks)
+    code, uncode = _encoder(table, pattern), _decoder(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return uncode(code(batches))
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, _DECODED)
 
 
 # --- the fold by higher-order functions --------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,39 +11,92 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Estimated bytes of input for each task of a written table, and tasks that stay for each core.
+TASK_BYTES, TASKS_A_CORE = 16 << 20, 4
+#: Bytes of an Arrow batch between the JVM and Python, unless the session asks for less (a batch holds a row at least).
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded in bytes.
+
+    Ten thousand rows, Spark's bound, are more than a worker's memory, or than
+    Arrow's two gigabytes, where texts are long.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def narrowed(df: DataFrame) -> DataFrame:
     """Fewer tasks, so that small results do not become very many files.
 
-    At least four tasks stay for each core of the cluster, and a task reads at
-    most about eight shuffle partitions, one after the other, at any size of
-    the input; nothing is shuffled.
+    Tasks stay in proportion to the bytes that the optimizer expects, four for
+    each core at least; nothing is shuffled.
     """
-    spark = df.sparkSession
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, partitions(spark) // 8))
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(min(max(TASKS_A_CORE * cores, -(-expected // TASK_BYTES)), (1 << 31) - 1))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and written tables: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set (tests on one machine) a temporary one is made.
+    Only in one process on one machine (tests) a temporary folder stands in for it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tellgrid-ck-"))
+        told = sc.getConf().get("spark.checkpoint.dir")
+        if not told and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="tellgrid-ck-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    _folder(df.sparkSession)
     return narrowed(df).checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`, but as a compressed columnar table in the shared folder, of which readers prune columns.
+
+    The table is deleted by :func:`forget`, or when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    narrowed(df).write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shards(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions for ``rows`` rows that are worked on a partition at a time: about ``most`` rows in each at any size."""
+    return max(partitions(spark), -(-rows // most))
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -67,16 +121,3 @@ def sliced(batches, column: str | int, limit: int):
         starts = np.flatnonzero(np.diff(block, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
-
-
-def cut_table(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, but as a compressed columnar table in the shared folder, of which readers prune columns."""
-    import uuid
-
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tellgrid-ck-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    narrowed(df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

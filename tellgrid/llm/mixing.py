@@ -4,26 +4,28 @@ Every document gets whole copies (the integer part of its source's rate) and
 one more with an inclusion probability (the fractional part).  The flight
 phase moves these probabilities through the null space of two balancing
 constraints, words and documents of the source, until at most two of a block
-are undecided; blocks are bounded in rows, their leftovers meet in a second
-flight for each source, and the last two units are landed by the rounding that
-comes nearest to the target.
-
-Defined results: a null text has size 0; null sources are one source, ordered
-last; documents of size 0 take 0; an empty table gives an empty result;
-repeated rows are separate units; the order of rows and the partitioning do
-not change the result; other columns are neither read nor returned.
+are undecided.  Blocks are bounded in rows; their leftovers meet in blocks of
+the next flight, level by level, until a source is one block, whose last two
+units are landed by the rounding that comes nearest to the target.
+
+Defined results: a null text has size 0; a very long text is one unit; null
+sources are one source, ordered last; documents of size 0 take 0; an empty
+table gives an empty result; repeated rows are separate units, and ties of
+their hashes are broken by id and size; the order of rows and the partitioning
+do not change the result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellgrid.llm.common import WORD, cut, text_or_empty
+from tellgrid.llm.common import WORD, cut, small_batches, text_or_empty
 
 #: Weights by the rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -58,8 +60,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: flo
     return lv.select("source", "source_size", F.least("cap", F.coalesce(F.col("final") * F.col("w"), "cap")).alias("target"))
 
 
-def fly(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Cube flight: balances sum(size) and the number of units; at most two stay fractional."""
+def fly(p: np.ndarray, size: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Cube flight: balances sum(size) and the number of units; at most two stay fractional.
+
+    ``unit`` holds a hash of each unit, which throws its coins.
+    """
+    unit = unit.tolist()
     out = p.copy()
     live: list[int] = []
     for i in range(len(out)):
@@ -76,7 +82,7 @@ def fly(p: np.ndarray, size: np.ndarray) -> np.ndarray:
             up = min(((1 - out[k]) / v if v > 0 else -out[k] / v) for k, v in zip(live, u, strict=True) if v)
             down = min((out[k] / v if v > 0 else (out[k] - 1) / v) for k, v in zip(live, u, strict=True) if v)
             # the side is fixed by the units themselves, so reruns agree
-            step = up if _coin(a, b, c, len(out)) * (up + down) < down else -down
+            step = up if _coin(unit[a], unit[b], unit[c]) * (up + down) < down else -down
             for k, v in zip(live, u, strict=True):
                 out[k] = min(1.0, max(0.0, out[k] + step * v))
                 if out[k] < _EPS or out[k] > 1 - _EPS:
@@ -89,7 +95,7 @@ def _coin(*key: int) -> float:
     """A number in [0, 1) that depends on the key alone."""
     h = 0x9E3779B97F4A7C15
     for k in key:
-        h = ((h ^ (k + 0x9E3779B9)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+        h = ((h ^ (k & 0xFFFFFFFFFFFFFFFF)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
         h ^= h >> 29
     return (h >> 11) / 2**53
 
@@ -109,12 +115,12 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-_FLOWN = "doc_id long, size long, source string, tie long, whole long, p double"
+_FLOWN = "doc_id long, size long, source string, unit long, whole long, p double, rows long"
 
 
 def _flight(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["tie", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
-    return pdf.assign(p=fly(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)))[["doc_id", "size", "source", "tie", "whole", "p"]]
+    pdf = pdf.sort_values(["unit", "doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+    return pdf.assign(p=fly(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), pdf["unit"].to_numpy()))[["doc_id", "size", "source", "unit", "whole", "p", "rows"]]
 
 
 def _landing(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,20 +129,26 @@ def _landing(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies."""
-    sizes = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), words(text_col).alias("size"), F.col(source_col).cast("string").alias("source")))
+    """One row per input row: doc_id, size, source_size, target, taken, copies, unit (a hash of id and text)."""
+    unit = F.xxhash64(F.col(id_col).cast("long"), text_or_empty(text_col)).alias("unit")
+    sizes = cut(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), words(text_col).alias("size"), F.col(source_col).cast("string").alias("source"), unit))
     per_source = cut(source_targets(sizes, weights, most).join(sizes.groupBy(F.col("source").alias("s2")).agg(F.count("*").alias("rows")), F.col("source").eqNullSafe(F.col("s2"))).drop("s2"))
-    small = per_source.count() <= BROADCAST_SOURCES
+    seen = per_source.agg(F.count("*").alias("n"), F.max("rows").alias("rows")).first()
     side = per_source.withColumnRenamed("source", "s")
-    rows = sizes.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    side = F.broadcast(side) if seen["n"] <= BROADCAST_SOURCES else side
+    rows = sizes.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("rate", rate).select(
-        "doc_id", "size", "source", F.xxhash64("doc_id", "size").alias("tie"), F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), "rows"
-    )
-    chunk = F.pmod(F.xxhash64("tie", F.lit(17)), F.ceil(F.col("rows") / F.lit(block))).alias("chunk")
-    flown = cut(rows.groupBy("source", chunk).applyInPandas(lambda pdf: _flight(pdf), _FLOWN))
+    open_ = rows.withColumn("rate", rate).select("doc_id", "size", "source", "unit", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), "rows")
     decided = (F.col("p") == 0) | (F.col("p") == 1)
-    landed = flown.where(~decided).groupBy("source").applyInPandas(lambda pdf: _landing(pdf), _FLOWN)
-    done = flown.where(decided).unionByName(landed).withColumn("copies", F.col("whole") + F.col("p").cast("long"))
-    out = done.join(F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    # a level leaves two units of a block at most, so their number falls by a thousand each time
+    done, left, level = [], seen["rows"] or 0, 0
+    while left > block or not level:
+        chunk = F.pmod(F.xxhash64("unit", F.lit(17 + level)), F.ceil(F.col("rows") / F.lit(block))).alias("chunk")
+        flown = cut(open_.groupBy("source", chunk).applyInPandas(lambda pdf: _flight(pdf), _FLOWN))
+        done.append(flown.where(decided))
+        open_ = flown.where(~decided).withColumn("rows", 2 * F.ceil(F.col("rows") / F.lit(block)))
+        left, level = 2 * -(-left // block), level + 1
+    done.append(open_.groupBy("source").applyInPandas(_landing, _FLOWN))
+    out = reduce(DataFrame.unionByName, done).withColumn("copies", F.col("whole") + F.col("p").cast("long")).drop("rows")
+    out = out.join(side, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "unit")

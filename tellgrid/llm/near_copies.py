@@ -20,9 +20,10 @@ small radius reaches.
 Shingles are compared by 64-bit hashes, texts are named by theirs.
 
 Defined results: blank and null texts are copies of each other; a text of
-fewer words than a shingle is one shingle; null ids never name a component
-unless all its ids are null; repeated rows are returned each; an empty table
-gives an empty result; other columns are neither read nor returned.
+fewer words than a shingle is one shingle; a very long text is compared whole;
+null ids never name a component unless all its ids are null; ties of ids go to
+the smaller hash; repeated rows are returned each; an empty table gives an
+empty result; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.llm.common import cut, cut_table, partitions, sliced, text_or_empty
+from tellgrid.llm.common import cut, cut_table, forget, shards, sliced, small_batches, text_or_empty
 from tellgrid.llm.components import components
 from tellgrid.llm.simhash import SEED, SLICE, links, shingle_hashes, voted
 
@@ -45,8 +46,8 @@ SHINGLE, LEAST = 5, (4, 5)
 SAMPLE_ROWS, COMMON = 10_000, 100_000
 #: Texts to be compared up to which their names are broadcast; more are joined by a shuffle.
 NAMED = 500_000
-#: Candidate pairs that a shard holds before it hands them on.
-HELD = 1 << 20
+#: Candidate pairs that a shard holds before it hands them on, and entries of prefix shingles of a shard.
+HELD, SHARD = 1 << 20, 1 << 20
 
 
 def _hashes(docs: DataFrame, shingle: int) -> DataFrame:
@@ -174,12 +175,18 @@ def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int,
     sets = cut_table(_hashes(named.dropDuplicates(["node"]), shingle))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     met = F.size(F.array_intersect("sa", "sb"))
-    return cut(both.where((p + q) * met >= p * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    linked = cut(both.where((p + q) * met >= p * (F.size("sa") + F.size("sb"))).select("a", "b"))
+    forget(sets)
+    return linked
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: tuple[int, int] = LEAST) -> DataFrame:
-    """One row per input row: doc_id, component_id, component_size."""
-    spark = docs.sparkSession
+    """One row per input row: doc_id, component_id, component_size, node (a hash of the text), kept.
+
+    ``kept`` is true for one text of a component: the one of the smallest id, null
+    ids last, then of the smallest hash (and for each row that repeats its id and text).
+    """
+    spark = small_batches(docs).sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
     p, q = least
     nodes = cut_table(_nodes(rows, shingle, least))
@@ -189,7 +196,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = nodes.join(of_fp, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     name = lambda c: of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
     near = links(of_fp.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h")).repartition(partitions(spark), "h")
+    parts = shards(spark, nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0, SHARD)
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h")).repartition(parts, "h")
     shared = cut_table(entries.mapInPandas(_shared, "node long, n int, at int, h long, star long, star_n int, star_at int"))
     fits = f"{q} * least(n, star_n) >= {p} * greatest(n, star_n) and {p + q} * least(n - at, star_n - star_at) >= {p} * (n + star_n)"
     stars = shared.where(fits).select(F.col("star").alias("a"), F.col("node").alias("b"))
@@ -202,9 +210,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if got:
             yield from cross_pairs(pd.concat(got), least)
 
-    rest = _alike(told.repartition(partitions(spark), "h").mapInPandas(run, "a long, b long"), sketches, rows, shingle, least)
+    rest = _alike(told.repartition(parts, "h").mapInPandas(run, "a long, b long"), sketches, rows, shingle, least)
     if not rest.isEmpty():
         comp = components(first.unionByName(rest))
-    member = cut(nodes.select("doc_id", "node").join(comp, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
-    tops = member.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("component_size"))
-    return member.join(tops, "root").select("doc_id", "component_id", "component_size")
+    member = cut(nodes.select("doc_id", "node").join(comp, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")))
+    first_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("w")
+    tops = member.groupBy("root").agg(first_of, F.count("*").alias("component_size"))
+    tops = tops.select("root", F.col("w.doc_id").alias("component_id"), F.col("w.node").alias("top"), "component_size")
+    forget(nodes, sketches, shared)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("top"))
+    return member.join(tops, "root").select("doc_id", "component_id", "component_size", "node", kept.alias("kept"))

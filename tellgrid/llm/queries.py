@@ -14,10 +14,10 @@ from tellgrid.sources.readers import spread
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tellgrid.llm.bpe import decode, encode, load_ranks
+    from tellgrid.llm.bpe import load_ranks, round_trip
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    done = decode(encode(spread(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN), ranks)
+    done = round_trip(spread(table(spark, sf_dir, "documents")), ranks, public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -42,7 +42,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tellgrid.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("unit")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

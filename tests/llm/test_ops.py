@@ -296,7 +296,7 @@ def test_flight_keeps_both_totals():
 
     rng = np.random.default_rng(6)
     size, p = rng.integers(1, 500, 3000).astype(float), np.full(3000, 0.37)
-    out = fly(p, size)
+    out = fly(p, size, rng.integers(0, 1 << 60, 3000))
     assert ((out > 0) & (out < 1)).sum() <= 2
     assert out.sum() == pytest.approx(p.sum()) and (out * size).sum() == pytest.approx((p * size).sum())
     # inclusion is not driven by the size
@@ -405,6 +405,98 @@ def test_language(spark, sf_dir):
     assert identify(empty(spark)).collect() == []
 
 
+def brute_grams(text, buckets=1 << 16):
+    codes = []
+    for c in (text or "").lower():
+        if c.isalpha():
+            codes.append(ord(c))
+        elif codes and codes[-1] != 32:
+            codes.append(32)
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            h = n
+            for c in codes[i : i + n]:
+                h = ((h ^ c) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
+                h ^= h >> 29
+            out.append((h >> 7) % buckets)
+    return out
+
+
+def brute_language(rows, buckets=1 << 16):
+    """Labels by a plain naive Bayes: {id: (lang, score)} of (id, text, lang) rows."""
+    import math
+    import zlib
+
+    counts, docs = {}, Counter()
+    for i, t, lang in rows:
+        if lang is not None and t is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2):
+            docs[lang] += 1
+            counts.setdefault(lang, Counter()).update(brute_grams(t))
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    out = {}
+    for i, t, _ in rows:
+        grams = brute_grams(t)
+        if not grams or not docs:
+            out[i] = ("und", 0.0)
+            continue
+        s = {k: math.log(docs[k] / sum(docs.values())) + sum(math.log((counts[k][g] + 0.5) / (totals[k] + 0.5 * buckets)) for g in grams) for k in sorted(docs)}
+        best = max(s.values())
+        out[i] = (next(k for k in s if s[k] == best), 1 / sum(math.exp(v - best) for v in s.values()))
+    return out
+
+
+def test_language_as_a_plain_naive_bayes(spark, sf_dir):
+    from tellgrid.llm.language_id import identify
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(9000, "a. Ünï ß", "de"), (9001, '"b', "de"), (9002, "ΑΣ Σ", "el"), (9003, "x" * 5000, "el"), (9004, None, "el"), (9005, "12 !", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = brute_language(rows)
+    assert got.keys() == want.keys()
+    for i, (lang, score) in want.items():
+        assert got[i][1] == pytest.approx(score, abs=1e-3) and (got[i][0] == lang or 0.4 < score < 0.6), i
+
+
+def test_language_of_a_text_is_its_own():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from tellgrid.llm.language_id import hashed_ngrams, scores
+
+    matrix = np.log(np.random.default_rng(8).random((3, 1 << 10)) + 0.01).astype(np.float32)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.one_of(st.none(), st.text(max_size=30)), max_size=8), st.integers(1, 40))
+    def check(texts, stretch):
+        grams = [Counter() for _ in texts]
+        for h, row in hashed_ngrams(texts, stretch=stretch):
+            for b, r in zip(h.tolist(), row.tolist(), strict=True):
+                grams[r][b] += 1
+        for t, g in zip(texts, grams, strict=True):
+            # lower case may differ from text to text only, and a stretch has no seam
+            assert g == Counter(brute_grams(t)), t
+        together = scores(texts, np.zeros(3), matrix)
+        for k, t in enumerate(texts):
+            alone = scores([t], np.zeros(3), matrix)
+            assert [x[k] for x in together] == [x[0] for x in alone]
+
+    check()
+
+
+def test_language_sample_at_any_size():
+    from tellgrid.llm.language_id import TRAIN_ROWS, thresholds
+
+    for sizes in ({"en": 10**11, "de": 10**9, "xx": 3}, {"en": 10, "de": 5}, {f"l{i}": 10**6 + i for i in range(30_000)}, {}):
+        below = thresholds(sizes)
+        rows = {k: n * below[k] / (1 << 63) for k, n in sizes.items()}
+        assert all(rows[k] >= min(n, 1) * 0.999 for k, n in sizes.items())
+        assert sum(rows.values()) <= max(TRAIN_ROWS, len(sizes)) * 1.001
+        if sum(sizes.values()) > TRAIN_ROWS:
+            assert sum(rows.values()) >= 0.99 * TRAIN_ROWS
+    assert thresholds({"en": 10**11, "xx": 3})["xx"] == (1 << 63) - 1
+
+
 def test_language_does_not_read_labels_of_what_it_predicts(spark):
     from tellgrid.llm.language_id import annotate, learn
 
