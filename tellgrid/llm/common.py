@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
-#: Estimated bytes of input for each task of a written table, and tasks that stay for each core.
-TASK_BYTES, TASKS_A_CORE = 16 << 20, 4
+#: Bytes of input for each task of a written table, tasks for each core that smaller inputs keep, and the least bytes of one.
+TASK_BYTES, TASKS_A_CORE, LEAST_BYTES = 16 << 20, 4, 1 << 18
 #: Bytes of an Arrow batch between the JVM and Python, unless the session asks for less (a batch holds a row at least).
 BATCH_BYTES = 4 << 20
 
@@ -36,18 +36,19 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def narrowed(df: DataFrame) -> DataFrame:
-    """Fewer tasks, so that small results do not become very many files.
+    """Fewer tasks, so that small results do not become very many files; nothing is shuffled.
 
-    Tasks stay in proportion to the bytes that the optimizer expects, four for
-    each core at least; nothing is shuffled.
+    Tasks stay in proportion to the bytes that the plan's tables have: one for
+    each ``LEAST_BYTES`` up to four a core, then one for each ``TASK_BYTES``.
     """
-    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(min(max(TASKS_A_CORE * cores, -(-expected // TASK_BYTES)), (1 << 31) - 1))
+    return df.coalesce(max(1, min(TASKS_A_CORE * cores, -(-size // LEAST_BYTES)), min(-(-size // TASK_BYTES), (1 << 31) - 1)))
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables: the session's ``spark.checkpoint.dir``.
+    """The shared folder for written tables: the session's ``spark.checkpoint.dir``.
 
     Only in one process on one machine (tests) a temporary folder stands in for it.
     """
@@ -61,13 +62,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    _folder(df.sparkSession)
-    return narrowed(df).checkpoint(eager=True)
-
-
-def cut_table(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, but as a compressed columnar table in the shared folder, of which readers prune columns.
+    """Write ``df`` as a table in the shared folder and read it again: its lineage is cut, and the optimizer knows its size.
 
     The table is deleted by :func:`forget`, or when the application ends.
     """

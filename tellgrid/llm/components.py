@@ -1,7 +1,12 @@
 """Connected components of a link table, by minimum labels and pointer jumping.
 
-Only DataFrame joins and partial aggregates over the nodes that have links;
-each round is cut by a checkpoint in the shared folder.
+Only DataFrame joins and partial aggregates over the nodes that have links.
+Each round's labels are a written table, which the next round's replace; a
+round hands each label on to the neighbours and to what pointed at them, so
+chains shorten as they are walked.
+
+Defined results: links of a node to itself and repeated links are allowed;
+links with a null end are none; an empty table has no components.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.llm.common import cut
+from tellgrid.llm.common import cut, forget
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,10 +24,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, labels["node"] == near["n"], "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        hooked = cut(hooked)
+        hooked = cut(labels.join(near, labels["node"] == near["n"], "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
         jump = hooked.select(F.col("node").alias("j"), F.col("root").alias("up"))
         new = cut(hooked.join(jump, hooked["root"] == jump["j"], "left").select("node", "old", F.least("root", "up").alias("root")))
-        labels = new.select("node", "root")
-        if new.where("root <> old").isEmpty():
-            return labels
+        ended = new.where("root <> old").isEmpty()
+        forget(hooked, labels)
+        labels = new
+        if ended:
+            forget(both)
+            return labels.select("node", "root")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from tellgrid.llm.common import SPACE, cut, cut_table, partitions, small_batches, text_or_empty
+from tellgrid.llm.common import SPACE, cut, partitions, small_batches, text_or_empty
 
 #: Leading characters of the normalised text that order the ranges.
 PREFIX = 48
@@ -123,7 +123,7 @@ def _stitched(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataF
         schema = StructType([*schema.fields, StructField("row", StructType([StructField(f.name, f.dataType) for f in docs.schema]))])
     told = ranged.select("id", "sha", "norm", F.spark_partition_id().alias("part"), *(["row"] if carry else [])).mapInArrow(_runs, schema)
     # only heads can stay
-    runs = cut_table(told.where("head or edge")) if carry else cut(told)
+    runs = cut(told.where("head or edge")) if carry else cut(told)
     # Runs at the edges of ranges, two a range at most, and the stretches of very long ones: a bounded table.
     joined = (
         runs.where("edge and head")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.llm.common import cut, cut_table, forget, shards, sliced, small_batches, text_or_empty
+from tellgrid.llm.common import cut, forget, shards, sliced, small_batches, text_or_empty
 from tellgrid.llm.components import components
 from tellgrid.llm.simhash import SEED, SLICE, links, shingle_hashes, voted
 
@@ -172,7 +172,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int,
     pairs = cut(pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long"))
     need = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     named = docs.join(F.broadcast(need) if need.count() <= NAMED else need, "node", "left_semi")
-    sets = cut_table(_hashes(named.dropDuplicates(["node"]), shingle))
+    sets = cut(_hashes(named.dropDuplicates(["node"]), shingle))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     met = F.size(F.array_intersect("sa", "sb"))
     linked = cut(both.where((p + q) * met >= p * (F.size("sa") + F.size("sb"))).select("a", "b"))
@@ -189,8 +189,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = small_batches(docs).sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
     p, q = least
-    nodes = cut_table(_nodes(rows, shingle, least))
-    sketches = cut_table(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
+    nodes = cut(_nodes(rows, shingle, least))
+    sketches = cut(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
     # candidates of operator 6: equal fingerprints, and links of the distinct ones
     of_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     same = nodes.join(of_fp, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
@@ -198,7 +198,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = links(of_fp.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     parts = shards(spark, nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0, SHARD)
     entries = nodes.select("node", "n", F.posexplode("prefix").alias("at", "h")).repartition(parts, "h")
-    shared = cut_table(entries.mapInPandas(_shared, "node long, n int, at int, h long, star long, star_n int, star_at int"))
+    shared = cut(entries.mapInPandas(_shared, "node long, n int, at int, h long, star long, star_n int, star_at int"))
     fits = f"{q} * least(n, star_n) >= {p} * greatest(n, star_n) and {p + q} * least(n - at, star_n - star_at) >= {p} * (n + star_n)"
     stars = shared.where(fits).select(F.col("star").alias("a"), F.col("node").alias("b"))
     first = _alike(same.unionByName(near).unionByName(stars), sketches, rows, shingle, least)

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.llm.common import cut_table, partitions, sliced, text_or_empty
+from tellgrid.llm.common import cut, partitions, sliced, text_or_empty
 
 LENGTH = 200
 GRAM = 32
@@ -315,16 +315,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    runs = cut_table(rows.where(F.octet_length("text") >= length).select("id", "th", "text").mapInArrow(_scan(length, gram), "mh long, ch long, id long, th long, start int, r int"))
+    runs = cut(rows.where(F.octet_length("text") >= length).select("id", "th", "text").mapInArrow(_scan(length, gram), "mh long, ch long, id long, th long, start int, r int"))
     groups = runs.groupBy("mh").agg(F.count("*").alias("n"), F.min("ch").alias("lo"), F.max("ch").alias("hi")).where("n > 1")
     # a table of its own: a join that reads plain shuffles on both sides can split the runs of a gram that very many documents share
-    groups = cut_table(groups.select(F.col("mh").alias("m"), (F.col("lo") != F.col("hi")).alias("mixed")))
-    hits = cut_table(runs.join(groups, F.col("mh") == F.col("m")).drop("m"))
+    groups = cut(groups.select(F.col("mh").alias("m"), (F.col("lo") != F.col("hi")).alias("mixed")))
+    hits = cut(runs.join(groups, F.col("mh") == F.col("m")).drop("m"))
 
     # a bitmap of fixed size over the documents with a hit: 2,048 rows of 4 KB at most
     spot = F.pmod(F.xxhash64("id", "th"), F.lit(BITMAP))
     bits = hits.select(spot.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("bits"))
-    marks = F.broadcast(cut_table(bits))
+    marks = F.broadcast(cut(bits))
     looked = rows.withColumn("b", spot).join(marks, F.expr("bitmap_bucket_number(b)") == F.col("bucket"), "left")
     byte = F.conv(F.hex(F.substring(F.col("bits"), F.expr("cast(bitmap_bit_position(b) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
     maybe = F.coalesce(F.expr("shiftright({0}, cast(bitmap_bit_position(b) % 8 as int)) & 1".format("byte")) == 1, F.lit(False))

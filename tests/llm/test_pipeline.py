@@ -23,13 +23,13 @@ def test_stages_against_brute_force(spark, sf_dir):
 
     import corpus_pipeline as c
     from tellgrid.llm.bpe import load_ranks
-    from tellgrid.llm.common import cut_table
+    from tellgrid.llm.common import cut
 
     docs = _docs(spark).withColumn("norm", F.lit(1))
     names = docs.columns
     seen = [docs]
     for _, stage in c.STAGES:
-        seen.append(cut_table(stage(spark, seen[-1], sf_dir)))
+        seen.append(cut(stage(spark, seen[-1], sf_dir)))
     assert all(d.columns == names for d in seen[:-1])
     said = [[r for r in d.collect()] for d in seen]
     # language: what has no letter goes, everything else stays
