@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellgrid.llm.bpe import load_ranks, round_trip
-from tellgrid.llm.common import cut_table, table, text_or_empty
+from tellgrid.llm.common import cut, table, text_or_empty
 from tellgrid.llm.exact_dedup import kept_rows
 from tellgrid.llm.language_id import UNDETERMINED, annotate, learn
 from tellgrid.llm.mixing import mix, words
@@ -76,5 +76,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = cut_table(stage(spark, docs, sf_dir))
+        docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
