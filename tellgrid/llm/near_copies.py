@@ -17,9 +17,10 @@ small radius reaches.
   that one were shared.  The other texts are the suspects; only their further
   shingles are looked up, and only their sets are kept.
 * Links of operator 6 (fingerprints of the same shingles within three bits)
-  are candidates, as are the links of each shared prefix shingle to its
-  smallest text.  What the exact check confirms gives first components; then
-  pairs of different components that share a prefix shingle are checked.
+  are candidates, as are a few pairs of each prefix shingle: every text with
+  the smallest one, and with its neighbours in an order of the shingle's own.
+  What the exact check confirms gives first components; then all pairs of
+  different components that share a prefix shingle are checked.
 * Candidates whose parity bits differ in more places than two such sets can
   differ in elements go before the exact check; this loses no pair either.
 
@@ -56,6 +57,8 @@ NAMED = 500_000
 HELD, SHARD = 1 << 20, 1 << 21
 #: Sets of up to so many shingles are early as a whole.
 SMALL = 16
+#: Neighbours of each text in a prefix shingle's own order that are candidates at once.
+NEIGHBOURS = 4
 #: Least bits of a parity; so many of it are compared inside a shard.
 PARITY = 512
 
@@ -86,14 +89,14 @@ def _set(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _hashes(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, set: the distinct shingle hashes of each text."""
+    """node, set, parity: the distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE):
             sets = [_set(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary())], names=["node", "set", "parity"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, set array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, set array<long>, parity binary")
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,12 +267,12 @@ def prefix(h: np.ndarray, shared: np.ndarray, df: np.ndarray, common: np.ndarray
 
 
 def _prefixes(sets: DataFrame, common: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> DataFrame:
-    """(node, set, shared: array of (h, df)) -> node, n, at, h: the prefix of each suspect."""
+    """(node, set, parity, shared: array of (h, df)) -> node, n, at, h, parity: the prefix of each suspect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, ns, ats, hs = [], [], [], []
-            for node, s, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            nodes, ns, ats, hs, odd = [], [], [], [], []
+            for node, s, bits, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 h = s.values.to_numpy()
                 if known.is_valid:
                     k, df = (known.values.field(i).to_numpy() for i in (0, 1))
@@ -282,52 +285,84 @@ def _prefixes(sets: DataFrame, common: np.ndarray, counts: np.ndarray, least: tu
                 ns.append(np.full(len(own), len(h), np.int32))
                 ats.append(np.arange(len(own), dtype=np.int32))
                 hs.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, ns, ats, hs)], names=["node", "n", "at", "h"])
-
-    return sets.select("node", "set", "shared").mapInArrow(run, "node long, n int, at int, h long")
-
-
-def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of the prefix shingles that several texts of a shard have, with the smallest such text, its size and place."""
+                odd += [_folded(np.frombuffer(bits, np.uint64), PARITY // 64).tobytes()] * len(own)
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (nodes, ns, ats, hs)], pa.array(odd, pa.binary())], names=["node", "n", "at", "h", "parity"])
+
+    return sets.select("node", "set", "parity", "shared").mapInArrow(run, "node long, n int, at int, h long, parity binary")
+
+
+class _Shard:
+    """A shard's entries of prefix shingles, and the pairs of them that may be similar."""
+
+    def __init__(self, pdf: pd.DataFrame, least: tuple[int, int]) -> None:
+        self.least = least
+        self.h, self.node = pdf["h"].to_numpy(), pdf["node"].to_numpy()
+        self.n, self.at = pdf["n"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
+        self.odd = np.frombuffer(b"".join(pdf["parity"]), np.uint64).reshape(len(pdf), PARITY // 64)
+        self.held: list[pd.DataFrame] = []
+
+    def offer(self, i: np.ndarray, j: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Hold the pairs whose sizes, places of the shingle and parities allow the similarity; yields when many are held."""
+        p, q = self.least
+        n, at = self.n, self.at
+        both = n[i] + n[j]
+        may = (q * np.minimum(n[i], n[j]) >= p * np.maximum(n[i], n[j])) & ((p + q) * np.minimum(n[i] - at[i], n[j] - at[j]) >= p * both)
+        i, j, both = i[may], j[may], both[may]
+        near = (q + p) * np.bitwise_count(self.odd[i] ^ self.odd[j]).sum(axis=1, dtype=np.int64) <= (q - p) * both
+        i, j = i[near], j[near]
+        if len(i):
+            self.held.append(pd.DataFrame({"a": np.minimum(self.node[i], self.node[j]), "b": np.maximum(self.node[i], self.node[j])}))
+            if sum(map(len, self.held)) > HELD:
+                self.held = [pd.concat(self.held).drop_duplicates()]
+                if len(self.held[0]) > HELD // 2:
+                    yield self.held.pop()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            yield pd.concat(self.held).drop_duplicates()
+
+
+def _few_pairs(frames: Iterator[pd.DataFrame], least: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """a, b: each entry with the smallest text of its shingle, and with the next ones in an order of the shingle's own.
+
+    These are few, and join nearly all of a group whose members are mostly
+    similar, in whatever way: every prefix shingle brings other neighbours.
+    """
     got = list(frames)  # one shard: a bounded share of the entries
-    if got:
-        pdf = pd.concat(got).sort_values(["h", "node"])
-        h = pdf["h"].to_numpy()
-        start = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
-        size = np.diff(np.append(start, len(h)))
-        star = {name: np.repeat(pdf[c].to_numpy()[start], size) for name, c in (("star", "node"), ("star_n", "n"), ("star_at", "at"))}
-        yield pdf.assign(**star)[np.repeat(size > 1, size)]
+    if not got:
+        return
+    pdf = pd.concat(got)
+    with np.errstate(over="ignore"):
+        turn = ((pdf["node"].to_numpy() ^ pdf["h"].to_numpy()).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7)
+    pdf = pdf.iloc[np.lexsort((turn, pdf["h"].to_numpy()))]
+    shard = _Shard(pdf, least)
+    start = np.concatenate(([0], np.flatnonzero(shard.h[1:] != shard.h[:-1]) + 1))
+    size = np.diff(np.append(start, len(pdf)))
+    by_node = np.lexsort((shard.node, shard.h))  # the same runs, smallest text first
+    everyone = np.arange(len(pdf))
+    yield from shard.offer(np.repeat(by_node[start], size), everyone)
+    for shift in range(1, NEIGHBOURS + 1):
+        i = everyone[: len(pdf) - shift]
+        i = i[shard.h[i] == shard.h[i + shift]]
+        yield from shard.offer(i, i + shift)
+    yield from shard.rest()
 
 
 def cross_pairs(pdf: pd.DataFrame, least: tuple[int, int] = LEAST) -> Iterator[pd.DataFrame]:
-    """a, b: texts of different roots that share a shingle and whose sizes, places of it and parities allow the similarity."""
+    """a, b: all texts of different roots that share a shingle and may be similar."""
     p, q = least
     pdf = pdf.sort_values(["h", "n"])
-    h, node, n, at, root = (pdf[c].to_numpy() for c in ("h", "node", "n", "at", "root"))
-    n, at = n.astype(np.int64), at.astype(np.int64)
-    odd = np.stack([_folded(np.frombuffer(x, np.uint64), PARITY // 64) for x in pdf["parity"]]) if len(pdf) else np.zeros((0, PARITY // 64), np.uint64)
-    held: list[pd.DataFrame] = []
-    i, shift = np.arange(len(h)), 1
+    shard, root = _Shard(pdf, least), pdf["root"].to_numpy()
+    i, shift = np.arange(len(pdf)), 1
     while len(i):
-        i = i[i + shift < len(h)]
+        i = i[i + shift < len(pdf)]
         j = i + shift
         # sizes rise within a shingle: a text that is too large stays so
-        fits = (h[i] == h[j]) & (q * n[i] >= p * n[j])
-        i, j = i[fits], j[fits]
-        most = np.minimum(n[i] - at[i], n[j] - at[j])
-        keep = np.flatnonzero((root[i] != root[j]) & ((p + q) * most >= p * (n[i] + n[j])))
-        a, b = i[keep], j[keep]
-        near = (q + p) * np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64) <= (q - p) * (n[a] + n[b])
-        a, b = a[near], b[near]
-        if len(a):
-            held.append(pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])}))
-            if sum(map(len, held)) > HELD:
-                held = [pd.concat(held).drop_duplicates()]
-                if len(held[0]) > HELD // 2:
-                    yield held.pop()
+        i = i[(shard.h[i] == shard.h[j]) & (q * shard.n[i] >= p * shard.n[j])]
+        apart_ = i[root[i] != root[i + shift]]
+        yield from shard.offer(apart_, apart_ + shift)
         shift += 1
-    if held:
-        yield pd.concat(held).drop_duplicates()
+    yield from shard.rest()
 
 
 def _alike(pairs: DataFrame, suspects: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -360,7 +395,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = small_batches(docs).sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("node", F.xxhash64("text"))
-    p, q = least
     common, counts = _common(rows, shingle)
     nodes = cut(_nodes(rows, common, shingle, least))
     one_each = nodes.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "parity", "slack")])
@@ -376,25 +410,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # which of the suspects' shingles are shared
     more = deal(_further(sets, common, least, 4 * parts).unionByName(_known(shared, 4 * parts))).mapInArrow(_looked_up, "node long, h long, df int")
     of_node = shared.join(names, "node", "left_semi").select("node", "h", "df").unionByName(more).groupBy("node").agg(F.collect_list(F.struct("h", "df")).alias("shared"))
-    entries = _prefixes(sets.join(of_node, "node", "left"), common, counts, least).repartition(parts, "h")
-    starred = cut(entries.mapInPandas(_stars, "node long, n int, at int, h long, star long, star_n int, star_at int"))
+    entries = cut(_prefixes(sets.join(of_node, "node", "left"), common, counts, least))
     forget(shared)
     # candidates of operator 6: equal fingerprints, and links of the distinct ones
     of_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     same = nodes.join(of_fp, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     name = lambda c: of_fp.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
     near = links(of_fp.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    fits = f"{q} * least(n, star_n) >= {p} * greatest(n, star_n) and {p + q} * least(n - at, star_n - star_at) >= {p} * (n + star_n)"
-    stars = starred.where(fits).select(F.col("star").alias("a"), F.col("node").alias("b"))
-    first = _alike(same.unionByName(near).unionByName(stars), suspects, sets, least)
+    few = entries.repartition(parts, "h").mapInPandas(lambda frames: _few_pairs(frames, least), "a long, b long")
+    first = _alike(same.unionByName(near).unionByName(few), suspects, sets, least)
     comp = components(first)
-    told = starred.select("node", "n", "at", "h").join(suspects.select("node", "parity"), "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(frames)
         if got:
             yield from cross_pairs(pd.concat(got), least)
 
+    told = entries.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rest = _alike(told.repartition(parts, "h").mapInPandas(run, "a long, b long"), suspects, sets, least)
     if not rest.isEmpty():
         comp = components(first.unionByName(rest))
@@ -402,6 +434,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("w")
     tops = member.groupBy("root").agg(first_of, F.count("*").alias("component_size"))
     tops = tops.select("root", F.col("w.doc_id").alias("component_id"), F.col("w.node").alias("top"), "component_size")
-    forget(nodes, suspects, sets, starred, of_fp, first, rest)
+    forget(nodes, suspects, sets, entries, of_fp, first, rest)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("top"))
     return member.join(tops, "root").select("doc_id", "component_id", "component_size", "node", kept.alias("kept"))
