@@ -177,7 +177,7 @@ def test_topk(spark, sf_dir):
     rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(90)]
     rows += [(200, None), (220, []), (240, [1.0, None]), (260, [float("nan")] * 8), (280, [float("inf")] * 8), (300, [0.5, 0.25]), (320, [0.0] * 8), (400, [1e12] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("id", F.lit(2))
-    for kwargs in ({}, {"query_block": 3, "block": 11}):
+    for kwargs in ({}, {"block_bytes": 200, "tile_bytes": 700}):
         assert {tuple(r) for r in topk(df, **kwargs).select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(rows)
     assert topk(df.limit(0)).collect() == []
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -185,17 +185,52 @@ def test_topk(spark, sf_dir):
     assert got == brute_topk([(r.vec_id, r.embedding) for r in own.collect()])
 
 
+@pytest.mark.parametrize("big", [1.0, 1e7, 1e15])
+def test_threshold_search_past_tiles(big):
+    from tellgrid.llm.topk import Search, Tile
+
+    rng = np.random.default_rng(11)
+    for dims, n in ((1, 3), (3, 400), (6, 1500)):
+        c = np.floor(rng.normal(size=(n, dims)) * 9) * big
+        c[n // 2 :] = c[: n - n // 2]  # ties
+        ids, q_ids = np.arange(n) * 3 % (2 * n), np.array([0, 3, 7, 10**6])
+        q = np.floor(np.vstack((rng.normal(size=(3, dims)) * 9, np.zeros((1, dims))))) * big
+        search = Search(q_ids, q, k=5)
+        for at in np.array_split(np.arange(n), 3):
+            search.past(Tile.of(ids[at], c[at]))
+        got = {}
+        for i, j, s in zip(*(x.tolist() for x in search.rows()), strict=True):
+            got.setdefault(i, []).append((j, s))
+        for i, v in zip(q_ids.tolist(), q, strict=True):
+            scores = sorted((-sum(int(x) * int(y) for x, y in zip(v, w, strict=True)), j) for j, w in zip(ids.tolist(), c, strict=True) if j != i)[:5]
+            assert got.get(i, []) == [(j, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, j in scores]
+
+
 def test_threshold_stops_early():
-    from tellgrid.llm import topk as m
+    from tellgrid.llm.topk import Search, Tile
 
     rng = np.random.default_rng(5)
     c = np.floor(rng.exponential(size=(20000, 2)) * 500)  # two dimensions and long tails: the bound falls fast
-    ids = np.arange(20000)
-    q = np.array([[3.0, 1.0], [-2.0, 5.0]])
-    at, got, score = m.threshold_search(q, np.array([-1, -2]), c, ids, k=5)
-    for row in range(2):
-        s = (c @ q[row]).astype(int)
-        assert got[at == row].tolist() == np.lexsort((ids, -s))[:5].tolist()
+    search = Search(np.array([-1, -2]), np.array([[3.0, 1.0], [-2.0, 5.0]]), k=5)
+    tiles = [Tile.of(np.arange(a, a + 5000), c[a : a + 5000]) for a in range(0, 20000, 5000)]
+    for tile in tiles:
+        search.past(tile)
+    assert search.stopped == search.passed == 8 and search.read < 2000
+    # a tile that holds nothing near the kth score is not read at all
+    before = search.read
+    search.past(Tile.of(np.arange(30000, 31000), np.ones((1000, 2))))
+    assert search.read == before
+
+
+def test_threshold_on_the_embeddings(spark):
+    """In 64 dimensions without a favoured direction the bound falls too slowly: every candidate is met before it stops a query."""
+    from tellgrid.llm.topk import Search, Tile, _matrix
+
+    own = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    ids, c = np.array([i for i, _ in own]), _matrix([v for _, v in own], 64, 64)
+    search = Search(ids[ids % 20 == 0], c[ids % 20 == 0])
+    search.past(Tile.of(ids, c))
+    assert search.passed == 100 and search.stopped == 0 and search.read == 100 * 1999
 
 
 # --- 4: personal data --------------------------------------------------------------------------
