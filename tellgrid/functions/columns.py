@@ -16,28 +16,30 @@ from pyspark.sql.types import ArrayType, DataType, StringType
 
 from tellgrid import model
 from tellgrid.functions import kernel, ranges
+from tellgrid.plans import fixed_values as fixed
 from tellgrid.plans.profile import Profile, default_profile
 from tellgrid.plans.rules import compile_profile
 
 
-def _column(returns: DataType, per_text: Callable, *cols: Column | str, on_null=None) -> Column:
+def function(returns: DataType, per_text: Callable, sides: int = 1, on_null=None):
+    """``per_text`` as a function of Arrow batches, for columns or to be registered for SQL."""
     kind = to_arrow_type(returns)
 
     def run(*arrays: pa.Array) -> pa.Array:
         rows = zip(*(a.to_pylist() for a in arrays), strict=True)
         return pa.array([on_null if any(x is None for x in row) else per_text(*row) for row in rows], kind)
 
-    if len(cols) == 1:
-
-        def one(a: pa.Array) -> pa.Array:
-            return run(a)
-
-        return F.arrow_udf(one, returns)(*cols)
+    def one(a: pa.Array) -> pa.Array:
+        return run(a)
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
         return run(a, b)
 
-    return F.arrow_udf(two, returns)(*cols)
+    return F.arrow_udf(one if sides == 1 else two, returns)
+
+
+def _column(returns: DataType, per_text: Callable, *cols: Column | str, on_null=None) -> Column:
+    return function(returns, per_text, len(cols), on_null)(*cols)
 
 
 def _planned(profile: Profile | None) -> str:
@@ -72,6 +74,18 @@ def score(text: Column | str, profile: Profile | None = None, ignore: str = rang
     return _column(model.SCORE, lambda t: asdict(kernel.engine_for(plan, ignore, ignore_next).score(t)), text)
 
 
+def report(text: Column | str, profile: Profile | None = None, ignore: str = ranges.IGNORE, ignore_next: str = ranges.IGNORE_NEXT) -> Column:
+    """Findings and score of a text that is checked once."""
+    plan = _planned(profile)
+
+    def run(t: str) -> dict:
+        engine = kernel.engine_for(plan, ignore, ignore_next)
+        found = engine.check(t)
+        return {"findings": [asdict(f) for f in found], "score": asdict(engine.score(t, found))}
+
+    return _column(model.REPORT, run, text)
+
+
 def anchors(text: Column | str) -> Column:
     return _column(ArrayType(StringType()), kernel.anchors, text, on_null=[])
 
@@ -102,11 +116,11 @@ def mask_code(text: Column | str) -> Column:
     return _column(StringType(), ranges.mask_code, text)
 
 
-def diff(before: Column | str, after: Column | str) -> Column:
-    """Token edits, null beyond the distance the diff goes to."""
+def diff(before: Column | str, after: Column | str, most: int | None = fixed.DIFF_DISTANCE) -> Column:
+    """Token edits, null where more than ``most`` are needed (never, if it is None)."""
 
     def run(a: str, b: str) -> list[dict] | None:
-        ops = kernel.diff(a, b)
+        ops = kernel.diff(a, b, most)
         return None if ops is None else [{"op": op, "token": t} for op, t in ops]
 
     return _column(model.DIFF, run, before, after)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tellgrid.functions.letters import AN_BEFORE_CAPITALS, AN_BEFORE_WORD
 from tellgrid.plans import fixed_values as fixed
 from tellgrid.plans.regex_dialect import quote, to_java
 
@@ -72,19 +73,47 @@ def rounded(x: Column, digits: int) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+#: Matches of one block of running offsets.
+BLOCK = 256
+
+
+def located(steps: Column, out, empty: Column) -> Column:
+    """``out(x, start, end)`` of the steps x (with gap, n and ok) that are ok; offsets are sums of gaps and lengths.
+
+    Arrays grow inside blocks and offsets run on from block to block, so the
+    time is in proportion to the steps.
+    """
+
+    def within(block: Column, offset: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + x["n"]
+            return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(out(x, start, end)))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(offset.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def blocks(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def joined(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"]))
+        offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
+        return bound(offsets, lambda o: F.flatten(F.transform(parts, lambda p, i: within(p, F.get(o, i)))))
+
+    return bound(steps, lambda all_: F.when(F.size(all_) == 0, empty).when(F.size(all_) <= BLOCK, within(all_, F.lit(0))).otherwise(bound(blocks(all_), joined)))
+
+
 def matches(text: Column | str, pattern: str) -> Column:
     """All matches of an RE2 pattern with byte offsets: array of (match, offset)."""
     t, p = _c(text), to_java(pattern)
-    gaps, found = F.split(t, p, -1), F.regexp_extract_all(t, F.lit(p), F.lit(0))
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<match:string,offset:int>>)").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.octet_length(x["gap"])
-        one = F.struct(x["match"].alias("match"), s.alias("offset"))
-        return F.struct((s + F.octet_length(x["match"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def of(both: Column) -> Column:
+        gaps, found = both["gaps"], both["found"]
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.octet_length(g).alias("gap"), F.octet_length(m).alias("n"), F.lit(True).alias("ok"), m.alias("match")))
+        return located(steps, lambda x, s, e: F.struct(x["match"].alias("match"), s.alias("offset")), F.expr("cast(array() as array<struct<match:string,offset:int>>)"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return bound(F.struct(F.split(t, p, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("found")), of)
 
 
 def line_of(prefix: Column) -> Column:
@@ -125,19 +154,13 @@ def double_spaces(text: Column | str) -> Column:
     return F.array_join(F.transform(F.split(_c(text), "\n", -1), line), "\n")
 
 
-ARTICLE = r"\b([Aa]n?)\b([ \t]+)([A-Za-z][A-Za-z.'-]*)"
+ARTICLE = fixed.TIDY_PATTERNS["article"]
 
 
 def vowel_sound(word: Column) -> Column:
-    low = F.lower(F.regexp_replace(word, "^'+|'+$", ""))
-    caps = (word == F.upper(word)) & (word != low) & (F.length(word) > 1)
-    return (
-        F.when(low == "", F.lit(False))
-        .when(caps, word.rlike(f"^[{fixed.VOWEL_NAMED}]"))
-        .when(low.rlike("^(?:" + "|".join(fixed.SILENT_H) + ")"), F.lit(True))
-        .when(low.rlike("^(?:" + "|".join(fixed.CONSONANT_SOUND) + ")"), F.lit(False))
-        .otherwise(low.rlike("^[aeiou]"))
-    )
+    bare = F.lower(F.regexp_replace(word, "^'+|'+$", ""))
+    in_capitals = (F.length(word) > 1) & (word == F.upper(word)) & (word != bare)
+    return F.when(in_capitals, word.rlike(AN_BEFORE_CAPITALS)).otherwise(bare.rlike(AN_BEFORE_WORD))
 
 
 def wrong_articles(text: Column | str) -> Column:
@@ -154,15 +177,26 @@ def _named(kind: str):
     return lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor"))
 
 
+#: What a text must hold for a kind of anchor: most texts skip most patterns.
+_NEEDS = {"url": "://", "email": "@", "percent": "%"}
+
+
 def anchors(text: Column | str) -> Column:
     """(kind, anchor) in the order of kinds; each kind sees the text without what earlier ones took."""
-    rest, parts = _c(text), []
-    for kind, pattern in fixed.ANCHOR_PATTERNS.items():
+    kinds = list(fixed.ANCHOR_PATTERNS.items())
+    none = F.expr("cast(array() as array<struct<kind:string,anchor:string>>)")
+
+    def taken(at: int, rest: Column) -> Column:
+        kind, pattern = kinds[at]
         p = to_java(pattern)
-        found = F.regexp_extract_all(rest, F.lit(p), F.lit(0))
-        parts.append(F.transform(found, _named(kind)))
-        rest = F.regexp_replace(rest, p, " ")
-    return F.concat(*parts)
+        may = rest.contains(_NEEDS[kind]) if kind in _NEEDS else rest.rlike("[$£€]") if kind == "money" else F.lit(True)
+        found = F.when(may, F.transform(F.regexp_extract_all(rest, F.lit(p), F.lit(0)), _named(kind))).otherwise(none)
+        if at + 1 == len(kinds):
+            return found
+        # the rest is bound, or each kind would take the earlier ones' anew
+        return F.concat(found, bound(F.when(may, F.regexp_replace(rest, p, " ")).otherwise(rest), lambda r: taken(at + 1, r)))
+
+    return taken(0, _c(text))
 
 
 def swap_words(text: Column | str, table: Mapping[str, str], boundary: str = "0-9A-Za-z_") -> Column:

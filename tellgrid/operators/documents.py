@@ -6,9 +6,9 @@ and projections stay outside of it so that they reach the scan.
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, replace
+from dataclasses import replace
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -114,17 +114,15 @@ def segments(text: Column, findings: Column) -> Column:
 # --- the batch API ---------------------------------------------------------------
 
 
-def _requested(row: dict, presets: Sequence[str]) -> Profile:
-    profile = default_profile()
-    if row.get("profile"):
-        profile = load_profile(row["profile"])
-    named = row.get("presets")
-    out = apply_presets(profile, presets if named is None else named)
-    if row.get("voice"):
-        out = with_voice(out, load_voice(row["voice"]))
-        if row.get("profile"):
-            out = overlay(out, replace(profile, tone=()))
-    return out
+@lru_cache(maxsize=256)
+def _requested(profile: str | None, presets: tuple[str, ...], voice: str | None) -> kernel.Engine:
+    """The engine of a request; one for all requests that ask for the same."""
+    out = apply_presets(load_profile(profile) if profile else default_profile(), presets)
+    if voice:
+        out = with_voice(out, load_voice(voice))
+        if profile:
+            out = overlay(out, replace(load_profile(profile), tone=()))
+    return kernel.engine_for(out.to_json())
 
 
 def chop(requests: DataFrame, presets: Sequence[str] = ("cleaver",), most_bytes: int = fixed.REQUEST_BYTES) -> DataFrame:
@@ -144,11 +142,12 @@ def chop(requests: DataFrame, presets: Sequence[str] = ("cleaver",), most_bytes:
         if len(text.encode("utf-8", "surrogatepass")) > most_bytes:
             return nothing | {"error": "text is too large"}
         try:
-            engine = kernel.engine_for(_requested(row, presets).to_json())
+            named = row.get("presets")
+            engine = _requested(row.get("profile") or None, tuple(presets if named is None else named), row.get("voice") or None)
         except ProfileError as e:
             return nothing | {"error": str(e)}
         cleaned, found = engine.fix(text)
-        return {"output": cleaned, "findings": [asdict(f) for f in found], "score": asdict(engine.score(text)), "score_after": asdict(engine.score(cleaned)), "error": None}
+        return {"output": cleaned, "findings": list(map(vars, found)), "score": vars(engine.score(text, found)), "score_after": vars(engine.score(cleaned)), "error": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_type(model.CHOP)

@@ -46,6 +46,14 @@ def anchor_difference(before: DataFrame, after: DataFrame, keys: Sequence[str] =
     return both.groupBy(*keys, "anchor").agg(F.sum("n").alias("n")).where("n <> 0").select(*keys, "anchor", F.greatest("n", F.lit(0)).alias("dropped"), F.greatest(-F.col("n"), F.lit(0)).alias("added"))
 
 
+def anchor_changes(df: DataFrame, before: Column, after: Column, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """:func:`anchor_difference` of two arrays of anchors in one row: one scan, and one partial sum."""
+    signed = lambda c, n: F.transform(c, lambda x: F.struct(x.alias("anchor"), F.lit(n).alias("n")))
+    both = df.select(*keys, F.explode(F.concat(signed(before, 1), signed(after, -1))).alias("s")).select(*keys, "s.*")
+    changed = both.groupBy(*keys, "anchor").agg(F.sum("n").alias("n")).where("n <> 0")
+    return changed.select(*keys, "anchor", F.greatest("n", F.lit(0)).alias("dropped"), F.greatest(-F.col("n"), F.lit(0)).alias("added"))
+
+
 def evaluate(df: DataFrame, positive: Column, profile: Profile | None = None, text_col: str = "text", threshold: int = fixed.CLEAN_BELOW) -> DataFrame:
     """One row: recall, precision, F1 and score margin of the score as a classifier of ``positive``."""
     told = df.select(positive.alias("yes"), columns.score(text_col, profile).alias("s")).select("yes", F.col("s.value").alias("v"))
@@ -63,7 +71,7 @@ def evaluate(df: DataFrame, positive: Column, profile: Profile | None = None, te
 
 def evaluate_tells(df: DataFrame, label_col: str = "label", profile: Profile | None = None, text_col: str = "text") -> DataFrame:
     """For each label: documents, documents with a content tell, mean score, documents at or above the clean threshold."""
-    told = df.select(F.col(label_col).alias("label"), columns.check(text_col, profile).alias("f"), columns.score(text_col, profile)["value"].alias("v"))
+    told = df.select(F.col(label_col).alias("label"), columns.report(text_col, profile).alias("r")).select("label", F.col("r.findings").alias("f"), F.col("r.score.value").alias("v"))
     tell = F.exists("f", lambda x: x["rule"].rlike("^(?:word|phrase|structural|char):"))
     return told.groupBy("label").agg(
         F.count("*").alias("documents"), F.sum(tell.cast("long")).alias("with_tells"), F.avg("v").alias("mean_score"), F.sum((F.col("v") >= fixed.CLEAN_BELOW).cast("long")).alias("flagged")

@@ -1,9 +1,10 @@
-"""British and American spellings, built from stems, endings and a rule for each family."""
+"""British and American spellings."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from tellgrid.plans import fixed_values as fixed
 from tellgrid.plans.errors import UnknownDialectError
 
 
@@ -14,79 +15,9 @@ class SpellingPair:
     oneway: bool = False  # the American form is also another word, so only British text is changed
 
 
-# Families: British ending, American ending, and the stems with what may follow the ending.
-# "~" is the bare form.
-_FAMILIES: tuple[tuple[str, str, str], ...] = (
-    (
-        "our", "or",
-        "behavi:~,s,al col:~,s,ed,ing,ful,less discol:~ fav:~,s,ed,ing,ite,ites,able,ably flav:~,s,ed,ing hon:~,s,ed,ing,able hum:~,ed "
-        "lab:~,s,ed,ing neighb:~,s,hood,ing od:~,s rum:~,s,ed sav:~,ed,y splend:~ val:~ vig:~ vap:~,s harb:~,s,ed ard:~ cand:~ clam:~ "
-        "endeav:~,s,ed ferv:~ rig:~,s parl:~ savi:~ demean:~ tum:~,s arm:~,ed succ:~",
-    ),
-    ("re", "er", "cent:~,s theat:~,s fib:~,s lit:~,s kilomet:~,s centimet:~,s millimet:~,s calib:~ sab:~ somb:~ spect:~ lust:~ meag:~ scept:~ mit:~ och:~ manoeuv=maneuv:~,s"),
-    ("red", "ered", "cent:~ manoeuv=maneuv:~"),
-    ("ring", "ering", "cent:~"),
-    ("ence", "ense", "def:~,s,less off:~,s pret:~"),
-    (
-        "is", "iz",
-        "organ:e,es,ed,ing,er,ation,ations,ational real:e,es,ed,ing recogn:e,es,ed,ing apolog:e,ed,ing emphas:e,ed,ing critic:e,ed,ing "
-        "summar:e,ed,ing minim:e,ed,ing maxim:e,ed,ing priorit:e,ed,ing categor:e,ed character:e,ed special:e,ed,ing standard:e,ed "
-        "optim:e,ed,ing custom:e,ed,ing memor:e,ed author:e,ed,ing capital:e,ed familiar:e,ed general:e,ed normal:e,ed stabil:e,ed "
-        "util:e,ed,ing visual:e,ed colon:e,ed modern:e,ed public:e,ed mobil:e,ed symbol:e sympath:e,ed hospital:e,ed legitim:e civil:e,ed "
-        "fertil:e,ed harmon:e idol:e item:e jeopard:e local:e,ed neutral:e,ed patron:e penal:e,ed plagiar:e popular:e pressur:e "
-        "rational:e,ed scrutin:e,ed social:e,ed subsid:e,ed theor:e vandal:e",
-    ),
-    ("ys", "yz", "anal:e,ed,ing,er paral:e,ed catal:e"),
-    ("ogue", "og", "catal:~,s dial:~,s monol:~ anal:~ epil:~ demag:~"),
-    ("ogued", "oged", "catal:~"),
-    (
-        "ll", "l",
-        "cance:ed,ing trave:er,ers,ed,ing mode:ed,ing labe:ed,ing signa:ed,ing marve:ed,ous counse:or,ors,ing fue:ed,ing leve:ed,ing dia:ed,ing "
-        "tota:ed,ing channe:ed,ing tunne:ed,ing jewe:er woo:en unrave:ed",
-    ),
-    ("l", "ll", "enro:~,s,ment,ments fulfi:~,s,ment insti:~ insta:ment,ments ski:ful,fully wi:ful disti:~ appa:~ enthra:~"),
-    ("ae", "e", "encyclop:dia an:mia,mic an:sthesia,sthetic p:diatric,diatrician gyn:cology orthop:dic h:morrhage h:moglobin leuk:mia f:ces,cal c:sarean pal:ontology"),
-    ("oe", "e", "f:tus,tal :sophagus :strogen diarrh:a c:liac"),
-    ("ould", "old", "m:~,s,ed,ing,y"),
-    ("oult", "olt", "m:~"),
-    ("oulder", "older", "sm:~,ing"),
-    ("ough", "ow", "pl:~,s,ed,ing"),
-    ("sc", "sk", ":eptical,eptic,eptics,epticism"),
-    ("ph", "f", "sul:ur,uric,ate"),
-    ("aero", "air", ":plane,planes"),
-    ("arte", "arti", ":fact,facts"),
-    ("ey", "ay", "gr:~,ish"),
-)
-#: Pairs of no family.
-_SINGLE = "jewellery=jewelry aluminium=aluminum moustache=mustache moustaches=mustaches pyjamas=pajamas cosy=cozy yoghurt=yogurt speciality=specialty specialities=specialties"
-#: Pairs whose American form is also another word.
-_ONE_WAY = (
-    "metre=meter metres=meters licence=license licences=licenses practise=practice practised=practiced practising=practicing prologue=prolog "
-    "mediaeval=medieval homoeopathy=homeopathy cheque=check cheques=checks chequebook=checkbook draught=draft draughts=drafts kerb=curb "
-    "kerbs=curbs tyre=tire tyres=tires storey=story storeys=stories programme=program programmes=programs dependant=dependent disc=disk "
-    "spelt=spelled learnt=learned dreamt=dreamed burnt=burned spilt=spilled gaol=jail annexe=annex whilst=while amongst=among amidst=amid"
-)
-
-
-def _family(british: str, american: str, stems: str) -> list[SpellingPair]:
-    out = []
-    for item in stems.split():
-        stem, ends = item.split(":")
-        if "=" in ends:
-            continue
-        b, _, a = stem.replace("-", "").partition("=")
-        for end in ends.split(","):
-            end = "" if end == "~" else end
-            out.append(SpellingPair(f"{b}{british}{end}", f"{a or b}{american}{end}"))
-    return out
-
-
 def spelling_pairs() -> tuple[SpellingPair, ...]:
     """All pairs, ordered by their British form."""
-    pairs = [p for family in _FAMILIES for p in _family(*family)]
-    pairs += [SpellingPair(*x.split("=")) for x in _SINGLE.split()]
-    pairs += [SpellingPair(*x.split("="), oneway=True) for x in _ONE_WAY.split()]
-    return tuple(sorted(set(pairs), key=lambda p: p.british))
+    return tuple(sorted((SpellingPair(*x) for x in fixed.SPELLINGS), key=lambda p: p.british))
 
 
 def dialect_name(dialect: str) -> str:

@@ -14,14 +14,13 @@ from dataclasses import dataclass, field
 import regex
 
 from tellgrid.functions import letters
+from tellgrid.plans import fixed_values as fixed
 from tellgrid.plans.dialect import dialect_name, spelling_map
 from tellgrid.plans.profile import Profile, fields, trim
 from tellgrid.plans.regex_dialect import compile_python, expand, quote, required_literals
 
 Match = regex.Match
-#: Blanks between two words of a phrase: they may cross one line break, never an empty line.
-GAP = r"(?:[ \t]+(?:\n[ \t]*)?|\n[ \t]*)"
-
+GAP = fixed.PHRASE_GAP
 
 #: Narrowed patterns that a fused rule remembers.
 NARROWED = 1024
@@ -147,7 +146,7 @@ class _Builder:
             self.add("phrase", name, _phrase_source(phrase), [_literal(phrase)], rewrite=lambda _, m: letters.carry_case(m[0], to), replacement=to)
 
     def deletion(self, kind: str, name: str, phrase: str) -> None:
-        source = _phrase_source(phrase) + r"[ \t]*(?:\n[ \t]*(\p{L})|(\p{L})?)"
+        source = _phrase_source(phrase) + fixed.DELETION_TAIL
         self.add(kind, name, source, [_literal(phrase)], rewrite=_delete, replacement="")
 
     def swaps(self, kind: str, name: str, table: Mapping[str, str], keep=None) -> None:
@@ -156,8 +155,8 @@ class _Builder:
             parts = tuple(map(quote, words))
             self.add(kind, name, _whole_words(parts), [w.casefold() for w in words], rewrite=_swap(table), keep=keep, alternatives=parts)
 
-    def tidy(self, name: str, source: str, literals: Iterable[str], rewrite, keep=None) -> None:
-        self.add("tidy", name, source, literals, rewrite=rewrite, keep=keep, tidy=True)
+    def tidy(self, name: str, literals: Iterable[str], rewrite, keep=None) -> None:
+        self.add("tidy", name, fixed.TIDY_PATTERNS[name], literals, rewrite=rewrite, keep=keep, tidy=True)
 
 
 def compile_profile(p: Profile) -> Plan:
@@ -184,15 +183,15 @@ def compile_profile(p: Profile) -> Plan:
     for name in sorted(p.flagPatterns):
         b.add("structural", f"structural:{name}", p.flagPatterns[name])
     if p.splitSemicolons:
-        b.tidy("semicolon", r";[ \t]+(\p{L})", ";", _semicolon, lambda t, m: letters.joins_clauses(t, m.start()))
+        b.tidy("semicolon", ";", _semicolon, lambda t, m: letters.joins_clauses(t, m.start()))
     if p.collapseSpaces:
-        b.tidy("orphan-comma", r",[ \t]*(\p{L})", ",", lambda _, m: letters.upper(m[1]), lambda t, m: letters.opens_sentence(t, m.start()))
-        b.tidy("space-before-punct", r"[ \t]+[,.!?;:]", " \t", lambda _, m: m[0].lstrip(" \t"), _before_punctuation)
-        b.tidy("comma-before-stop", r",+[.!?;:]", ",", lambda _, m: m[0][-1])
-        b.tidy("comma-run", r",{2,}", [",,"], lambda *_: ",")
-        b.tidy("double-space", r"  +", ["  "], lambda *_: " ", _collapsible)
+        b.tidy("orphan-comma", ",", lambda _, m: letters.upper(m[1]), lambda t, m: letters.opens_sentence(t, m.start()))
+        b.tidy("space-before-punct", " \t", lambda _, m: m[0].lstrip(" \t"), _before_punctuation)
+        b.tidy("comma-before-stop", ",", lambda _, m: m[0][-1])
+        b.tidy("comma-run", [",,"], lambda *_: ",")
+        b.tidy("double-space", ["  "], lambda *_: " ", _collapsible)
     if p.fixArticles:
-        b.tidy("article", r"\b([Aa]n?)\b([ \t]+)([A-Za-z][A-Za-z.'-]*)", "a", _article, lambda _, m: letters.vowel_sound(m[3]) != (len(m[1]) == 2))
+        b.tidy("article", "a", _article, lambda _, m: letters.vowel_sound(m[3]) != (len(m[1]) == 2))
     phrases = [" ".join(f) for f in map(fields, p.allow) if len(f) > 1]
     source = r"(?i)\b(?:" + "|".join(sorted(quote(x).replace(" ", GAP) for x in phrases)) + r")\b"
     return Plan(

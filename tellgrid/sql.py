@@ -10,23 +10,24 @@ from pyspark.sql.types import ArrayType, StringType
 
 from tellgrid import model
 from tellgrid.functions import kernel
+from tellgrid.functions.columns import function
 from tellgrid.plans.profile import Profile, default_profile
 from tellgrid.plans.rules import compile_profile
 
 
 def register(spark: SparkSession, profile: Profile | None = None) -> None:
+    """Register the functions under a profile; texts reach Python in Arrow batches."""
     profile = default_profile() if profile is None else profile
     compile_profile(profile)
     plan = profile.to_json()
     engine = lambda: kernel.engine_for(plan)
-    found = lambda t: [asdict(f) for f in engine().check(t)] if t is not None else []
-    for name, returns, one in (
-        ("check_text", model.FINDINGS, found),
-        ("fix_text", StringType(), lambda t: None if t is None else engine().clean(t)),
-        ("score_text", model.SCORE, lambda t: None if t is None else asdict(engine().score(t))),
-        ("anchors", ArrayType(StringType()), lambda t: [] if t is None else kernel.anchors(t)),
+    for name, returns, one, on_null in (
+        ("check_text", model.FINDINGS, lambda t: [asdict(f) for f in engine().check(t)], []),
+        ("fix_text", StringType(), lambda t: engine().clean(t), None),
+        ("score_text", model.SCORE, lambda t: asdict(engine().score(t)), None),
+        ("anchors", ArrayType(StringType()), kernel.anchors, []),
     ):
-        spark.udf.register(name, F.udf(one, returns, useArrow=True))
+        spark.udf.register(name, function(returns, one, on_null=on_null))
 
     @F.udtf(returnType="rule string, match string, replacement string, offset int, line int, col int")
     class Findings:

@@ -103,6 +103,28 @@ def test_diff_rebuilds_both_sides():
     assert kernel.diff("a " * 2000, "b " * 2000) is None
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "dd"]), max_size=14), st.lists(st.sampled_from(["a", "b", "c", "dd"]), max_size=14))
+def test_diff_needs_the_least_edits(a, b):
+    before, after = " ".join(a), "\n".join(b)
+    x, y = kernel.diff_tokens(before), kernel.diff_tokens(after)
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, s in enumerate(x):
+        for j, t in enumerate(y):
+            table[i + 1][j + 1] = table[i][j] + 1 if s == t else max(table[i][j + 1], table[i + 1][j])
+    least = len(x) + len(y) - 2 * table[-1][-1]
+    ops = kernel.diff(before, after, most=None)
+    assert [t for o, t in ops if o <= 0] == x and [t for o, t in ops if o >= 0] == y
+    assert sum(o != 0 for o, _ in ops) == least
+    assert kernel.diff(before, after, most=least) == ops and (least == 0 or kernel.diff(before, after, most=least - 1) is None)
+
+
+def test_diff_without_a_limit():
+    a, b = ("x " * 9000).strip(), ("y " * 3000 + "x " * 6000).strip()
+    assert sum(o != 0 for o, _ in kernel.diff(a, b, most=None)) == 6000
+    assert kernel.diff(a, b) is None
+
+
 def test_merge_and_overlaps():
     merged = ranges.merge([(5, 7), (1, 3), (3, 4), (6, 9)])
     assert merged == [(1, 4), (5, 9)]
