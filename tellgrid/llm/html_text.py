@@ -13,14 +13,17 @@ of the body's visible text, is never left out by them.
 
 Defined results: a null or empty html, and a page without text, gives the
 empty string and 0 characters; markup that is broken or unclosed is read as
-far as it goes; repeated pages are returned each; an empty table gives an
-empty result; other columns are neither read nor returned.
+far as it goes; very long pages are read whole, in time proportional to their
+length; of nodes with equal sums the first of the page is selected; repeated
+pages are returned each; an empty table gives an empty result; other columns
+are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,9 +35,11 @@ from tellgrid.llm.common import sliced
 
 SLICE = 4 << 20
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
-)
+#: Where a comment, a tag or a declaration may begin.
+_BEGINS = re.compile(r"<(?:!--|(/?)([A-Za-z][^\s/>]*+)|[!?])")
+#: Attributes up to the end of a tag, or as far as quotes are closed.
+_ATTRS = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>?)")
+_PLAIN = re.compile(r"[^>\"']*+([>\"'])")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VALUE = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
@@ -83,6 +88,54 @@ _KEPT = {"html", "body", "article", "main"}
 _split_words = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+class _Markup:
+    """Reads the markup of a page, in time proportional to its length whatever the quotes in it."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last_end = html, html.rfind(">")
+        self.unclosed: set[int] | None = None  # quotes from which no end of a tag is reached; None before the first
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, slash, name (empty for none) and attributes of the next piece of markup."""
+        html = self.html
+        m = _BEGINS.search(html, at)
+        if m and m.start() > self.last_end:  # only a comment may go on to the end
+            start = html.find("<!--", m.start())
+            return (start, len(html), "", "", "") if start >= 0 else None
+        if not m:
+            return None
+        if m[2] is None:
+            if m[0] == "<!--":
+                end = html.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(html), "", "", ""
+            return m.start(), html.find(">", m.end()) + 1, "", "", ""
+        end = self._tag_end(m.end())
+        if end < 0:  # a quote that nothing closes: up to the first sign that can end a tag
+            end = html.find(">", m.end())
+        return m.start(), end + 1, m[1], m[2], html[m.end() : end]
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends outside of quotes, or -1."""
+        if self.unclosed is None:
+            m = _ATTRS.match(self.html, at)
+            if m[2]:
+                return m.start(2)
+            self.unclosed = set()
+        seen: list[int] = []
+        while m := _PLAIN.match(self.html, at):
+            if m[1] == ">":
+                return m.start(1)
+            quote = m.start(1)
+            if quote in self.unclosed:
+                break
+            seen.append(quote)
+            at = self.html.find(m[1], quote + 1) + 1
+            if not at:
+                break
+        self.unclosed.update(seen)
+        return -1
+
+
 def _marks(token: str) -> set[str]:
     """The words by which a class or id token marks its element, if it does as a whole."""
     words = {w for w in _split_words.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if len(w) > 1}
@@ -140,11 +193,13 @@ def _outs(tags: list[str], parents: list[int], last: list[int], marks: list[int]
             while up >= 0 and depth[i] == least and own[i] and not holds[up]:
                 holds[up] = True
                 up = parents[up]
+        bare = not any(own[c] for c in cores)
         for i in range(1, n):
             if marks[i] != 1:
                 continue
-            inner = any(i < c <= last[i] for c in cores)
-            if holds[i] or (2 * chars[i] > chars[body] and (inner or not any(own[c] for c in cores))):
+            k = bisect_right(cores, i)
+            inner = k < len(cores) and cores[k] <= last[i]
+            if holds[i] or (2 * chars[i] > chars[body] and (inner or bare)):
                 marks[i] = 0
     outs = [False] * n
     for i in range(1, n):
@@ -160,55 +215,45 @@ def main_text(html: str | None) -> str:
     tags, parents, last, marks = ["#root"], [-1], [0], [0]
     runs: list[tuple[int, int, str]] = []  # node, block, raw text
     stack, in_article, block, at, n = [0], 0, 0, 0, len(html)
-    open_count: dict[str, int] = {}
+    open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of a tag
+    markup = _Markup(html)
 
     def pop_to(depth: int) -> None:
         nonlocal in_article
         while len(stack) > depth:
             node = stack.pop()
             last[node] = len(tags) - 1
-            open_count[tags[node]] -= 1
+            open_at[tags[node]].pop()
             if tags[node] in ("article", "main"):
                 in_article -= 1
 
+    def deepest(of: set[str]) -> int:
+        return max((open_at[t][-1] for t in of if open_at.get(t)), default=0)
+
     def end_open(ends: set[str], shields: set[str]) -> None:
-        if not any(open_count.get(t) for t in ends):
-            return
-        for d in range(len(stack) - 1, 0, -1):
-            t = tags[stack[d]]
-            if t in shields:
-                return
-            if t in ends:
-                pop_to(d)
-                if not any(open_count.get(x) for x in ends):
-                    return
-                end_open(ends, shields)
-                return
+        while (d := deepest(ends)) > deepest(shields):
+            pop_to(d)
 
     while at < n:
-        m = _TAG.search(html, at)
-        stop = m.start() if m else n
+        piece = markup.next(at)
+        stop = piece[0] if piece else n
         if stop > at:
             runs.append((stack[-1], block, html[at:stop]))
-        if not m:
+        if not piece:
             break
-        at = m.end()
-        name = m[2] or m[5]
+        _, at, slash, name, attrs = piece
         if not name:
             continue
-        tag, attrs = name.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
+        tag = name.lower()
+        if slash:
             if tag in _BLOCK:
                 block += 1
-            if open_count.get(tag):
-                d = len(stack) - 1
-                while tags[stack[d]] != tag:
-                    d -= 1
-                pop_to(d)
+            if open_at.get(tag):
+                pop_to(open_at[tag][-1])
             continue
         if tag in _BLOCK:
             block += 1
-            if tag in _ENDS_P and open_count.get("p"):
+            if tag in _ENDS_P and open_at.get("p"):
                 end_open({"p"}, {"table", "button", "object"})
             if tag in _ENDS:
                 end_open(*_ENDS[tag])
@@ -232,8 +277,8 @@ def main_text(html: str | None) -> str:
             close = html.find(">", stop) if end else -1
             at = close + 1 if close >= 0 else n
             continue
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        open_count[tag] = open_count.get(tag, 0) + 1
         if tag in ("article", "main"):
             in_article += 1
     pop_to(1)
@@ -308,10 +353,12 @@ def _selected(tags: list[str], parents: list[int], last: list[int], outs: list[b
     i = best
     while i > body and tags[best] not in ("article", "main"):
         p = parents[i]
-        for j in range(p + 1, last[p] + 1):
-            if parents[j] == p and j != i and not outs[j] and density[j] >= threshold > 0:
+        j = p + 1
+        while j <= last[p]:  # from child to child
+            if j != i and not outs[j] and density[j] >= threshold > 0:
                 for k in range(j, last[j] + 1):
                     keep[k] = not outs[k]
+            j = last[j] + 1
         keep[p] = not outs[p]
         i = p
     return keep

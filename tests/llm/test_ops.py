@@ -712,3 +712,48 @@ def test_html_names_yield_to_the_text():
     # what is beside the article stays out, however long
     assert main_text(f'<body><article>{story}</article><div class="comment-list">{story * 3}</div></body>') == want
     assert main_text(f'<body><main><div class="widget"><article>{story}</article></div></main></body>') == want
+
+
+def test_html_markup_is_read_as_by_one_plain_pattern():
+    import random
+
+    from tellgrid.llm.html_text import _Markup
+
+    plain = re.compile(
+        r"(<!--.*?(?:-->|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>|<[!?][^>]*>", re.S
+    )
+    pieces = ["<p", "</p", "<b ", ">", '"', "'", "<", "/", "x", " ", "<!--", "-->", "<!", "<?x", "=", '<a href="', "<a t='>'", "\n"]
+    rng = random.Random(3)
+    for _ in range(3000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 30)))
+        markup, at = _Markup(html), 0
+        while True:
+            m, got = plain.search(html, at), markup.next(at)
+            if m is None:
+                assert got is None, html
+                break
+            assert got == (m.start(), m.end(), m[2] or m[5] or "", m[3] or m[6] or "", m[4] or m[7] or ""), html
+            at = m.end()
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a '" * 250_000, '<b ">"' * 150_000, '<a b="' * 150_000, "<div>" * 100_000 + "x", "<p><table>" + "<div>" * 100_000, "<article>x</article><div class=ad>y</div>" * 20_000],
+    ids=["unclosed quotes", "ends in quotes", "open values", "nested", "shielded paragraph", "many articles"],
+)
+def test_html_takes_time_in_proportion(html):
+    import time
+
+    from tellgrid.llm.html_text import main_text
+
+    start = time.process_time()
+    main_text(html)
+    assert time.process_time() - start < 10
+
+
+def test_html_repeated_pages(spark):
+    from tellgrid.llm.html_text import extract
+
+    rows = [(1, "u", "<p>one"), (1, "u", "<p>one"), (None, None, "<p>" + "long " * 200_000)]
+    got = sorted((r.page_id or 0, r.text[:3], r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(0, "lon", 999_999), (1, "one", 3), (1, "one", 3)]
