@@ -83,7 +83,7 @@ def report(text: Column | str, profile: Profile | None = None, ignore: str = ran
         found = engine.check(t)
         return {"findings": [asdict(f) for f in found], "score": asdict(engine.score(t, found))}
 
-    return _column(model.REPORT, run, text)
+    return _column(model.REPORT, run, text, on_null={"findings": [], "score": None})
 
 
 def anchors(text: Column | str) -> Column:

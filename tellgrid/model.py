@@ -20,6 +20,7 @@ FINDING = StructType(
 FINDINGS = ArrayType(FINDING)
 RANGES = ArrayType(_struct(start=_int, end=_int))
 SCORE = _struct(value=_int, tells=_int, words=_int, tells_per_100=_double, cadence_cv=_double, density=_int, cadence=_int, hedging=_int)
+REPORT = _struct(findings=FINDINGS, score=SCORE)
 FIX = _struct(cleaned=_text, findings=FINDINGS)
 CHOP = _struct(output=_text, findings=FINDINGS, score=SCORE, score_after=SCORE, error=_text)
 DIFF = ArrayType(_struct(op=_int, token=_text))
