@@ -1,4 +1,4 @@
-"""Substring dedup with a logarithmic family of sorted windows (operator 2).
+"""Substring dedup with a logarithmic family of suffix arrays (operator 2).
 
 A byte goes when a string of ``length`` bytes that covers it also starts
 anywhere else.  Every such string (a window) is filed under one of its own
@@ -9,10 +9,10 @@ neighbouring windows under one gram form a run, the unit that is shuffled.
   alike, all their windows repeat; alike means equal 64-bit hashes, and the
   bytes of these are not compared.
 * The rest (edges of repeats, edited copies) is dealt by gram with its bytes.
-  A shard reads it in batches: a batch's windows are sorted (by eight leading
-  bytes, then by a hash of all ``length`` bytes), looked up in the shard's
-  existing levels by binary search, and then added as a level; levels of
-  equal size merge geometrically.  Equal neighbours are compared in full.
+  A shard reads it in batches: a batch gets a suffix array of its windows,
+  which is merge-scanned against the shard's existing levels for matches of
+  ``length`` bytes and then added as a level; levels of equal size merge
+  geometrically.  All comparisons here are of whole windows.
 
 Runs that are alike are counted before they are shuffled, so a passage that
 very many documents share costs a row a task.  A bitmap of fixed size marks
@@ -158,25 +158,79 @@ def _scan(length: int, gram: int):
     return run
 
 
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Dense ranks, equal values alike."""
+    return np.unique(values, return_inverse=True)[1].astype(np.uint64)
+
+
+def leads(data: np.ndarray, width: int) -> np.ndarray:
+    """The first ``width`` bytes (8 at most) from every position as a number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(width, np.uint8)))
+    out = np.zeros(len(data), np.uint64)
+    for k in range(width):
+        out = (out << np.uint64(8)) | padded[k : k + len(data)]
+    return out
+
+
+def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes at ``start`` in the order of their first ``length`` bytes, and the ranks of those bytes, by prefix doubling."""
+    width = min(8, length)
+    rank = _ranks(leads(data, width))
+    while width < length:
+        step = min(width, length - width)  # the last step overlaps, so that exactly ``length`` bytes count
+        after = np.zeros(len(rank), np.uint64)
+        after[: len(rank) - step] = rank[step:]
+        rank = _ranks((rank << np.uint64(32)) | after)
+        width += step
+    rank = rank[start]
+    order = np.argsort(rank, kind="stable")
+    return order, rank[order]
+
+
 class LevelFamily:
-    """Sorted windows in levels of doubling size; ``add`` says which windows repeat."""
+    """Suffix arrays in levels of doubling size; ``add`` marks the windows that repeat.
+
+    A level holds each different window once, in the order of its bytes.
+    """
 
     def __init__(self, length: int = LENGTH) -> None:
         self.length = length
         self.text = np.zeros(0, np.uint8)  # bytes of all batches
         self.repeats = np.zeros(0, bool)  # by window number
         self.starts = np.zeros(0, np.int64)  # a window's first byte
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys, window numbers
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # first bytes as a number, window numbers
 
-    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the windows a[i] and b[i] hold the same bytes."""
-        out = np.ones(len(a), bool)
-        reach = np.arange(self.length)
+    def _compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the bytes of window a[i] are below, equal to or above those of b[i]."""
+        out = np.zeros(len(a), np.int8)
+        windows = np.lib.stride_tricks.sliding_window_view(self.text, self.length)
         for lo in range(0, len(a), 1 << 14):
-            x, y = self.starts[a[lo : lo + (1 << 14)], None], self.starts[b[lo : lo + (1 << 14)], None]
-            out[lo : lo + (1 << 14)] = (self.text[x + reach] == self.text[y + reach]).all(axis=1)
+            x, y = windows[self.starts[a[lo : lo + (1 << 14)]]], windows[self.starts[b[lo : lo + (1 << 14)]]]
+            row = np.arange(len(x))
+            first = (x != y).argmax(axis=1)
+            x, y = x[row, first], y[row, first]
+            out[lo : lo + (1 << 14)] = (x > y).astype(np.int8) - (x < y).astype(np.int8)
         return out
 
+    def _scan(self, level: tuple[np.ndarray, np.ndarray], new: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The place in ``level`` of each window of ``new``, both sorted, and whether the window there is equal.
+
+        The merge scan of two suffix arrays for all windows at once: first
+        bytes give the stretch, comparisons of whole windows halve it.
+        """
+        (lead, number), (lead2, own) = level, new
+        lo, hi = np.searchsorted(lead, lead2, "left"), np.searchsorted(lead, lead2, "right")
+        equal = np.zeros(len(own), bool)
+        left = np.flatnonzero(lo < hi)
+        while len(left):
+            mid = (lo[left] + hi[left]) // 2
+            sign = self._compare(own[left], number[mid])
+            equal[left[sign == 0]] = True
+            lo[left] = np.where(sign > 0, mid + 1, np.where(sign == 0, mid, lo[left]))
+            hi[left] = np.where(sign > 0, hi[left], mid)
+            left = left[(lo[left] < hi[left]) & (sign != 0)]
+        return lo, equal
+
     def add(self, contents: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Add a batch of runs (with how often each occurs); returns the numbers of its windows."""
         data = np.frombuffer(b"".join(contents), np.uint8)
@@ -185,40 +239,26 @@ class LevelFamily:
         first = np.cumsum(sizes) - sizes
         within = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         start = np.repeat(first, windows) + within
-        sums = rolling(data)
-        h = hashes(sums, start, start + self.length)
-        lead = np.zeros(len(start), np.uint64)
-        for k in range(8):
-            lead = (lead << np.uint64(8)) | data[start + k]
         numbers = np.arange(len(start)) + len(self.starts)
         self.starts = np.concatenate((self.starts, start + len(self.text)))
         self.text = np.concatenate((self.text, data))
         self.repeats = np.concatenate((self.repeats, np.repeat(counts > 1, windows)))
-        key = np.empty((len(start), 2), ">u8")
-        key[:, 0], key[:, 1] = lead, h | np.uint64(1)  # the last byte is never zero, which numpy would strip
-        keys = key.view("S16").ravel()
-        order = np.argsort(keys, kind="stable")
-        keys, own = keys[order], numbers[order]
-        # the batch's own sorted windows: equal neighbours repeat
-        same = np.flatnonzero(keys[1:] == keys[:-1])
-        same = same[self._equal(own[same], own[same + 1])]
-        self.repeats[own[same]] = self.repeats[own[same + 1]] = True
-        head = np.ones(len(keys), bool)
-        head[1:] = keys[1:] != keys[:-1]
-        for level_keys, level_numbers in self.levels:
-            at = np.minimum(np.searchsorted(level_keys, keys), len(level_keys) - 1)
-            hit = np.flatnonzero(level_keys[at] == keys)
-            hit = hit[self._equal(own[hit], level_numbers[at[hit]])]
-            self.repeats[own[hit]] = self.repeats[level_numbers[at[hit]]] = True
-        self.levels.append((keys[head], own[head]))
+        order, rank = suffix_array(data, start, self.length)
+        own = numbers[order]
+        head = np.ones(len(own), bool)
+        head[1:] = rank[1:] != rank[:-1]
+        # equal neighbours of the batch's own suffix array repeat
+        self.repeats[own[1:][~head[1:]]] = self.repeats[own[:-1][~head[1:]]] = True
+        new = leads(data, min(8, self.length))[start[order[head]]], own[head]
+        for level in self.levels:
+            at, equal = self._scan(level, new)
+            self.repeats[new[1][equal]] = self.repeats[level[1][at[equal]]] = True
+        # a window that repeats stays marked through any one copy of it: the others were marked when they met
+        self.levels.append(new)
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (k1, n1), (k2, n2) = self.levels[-2:]
-            both, who = np.concatenate((k1, k2)), np.concatenate((n1, n2))
-            order = np.argsort(both, kind="stable")  # two sorted stretches: a merge
-            both, who = both[order], who[order]
-            head = np.ones(len(both), bool)
-            head[1:] = both[1:] != both[:-1]
-            self.levels[-2:] = [(both[head], who[head])]
+            level, new = self.levels[-2:]
+            at, equal = self._scan(level, new)
+            self.levels[-2:] = [tuple(np.insert(kept, at[~equal], added[~equal]) for kept, added in zip(level, new, strict=True))]
         return numbers
 
 

@@ -156,6 +156,22 @@ def test_level_family_merges_geometrically():
     assert family.repeats.tolist() == want
     sizes = [len(k) for k, _ in family.levels]
     assert sizes == sorted(sizes, reverse=True) and len(sizes) <= 8
+    for _, numbers in family.levels:  # each different window once, in the order of its bytes
+        windows = [family.text[family.starts[n] :][:50].tobytes() for n in numbers]
+        assert windows == sorted(set(windows))
+
+
+def test_suffix_array_orders_by_exactly_so_many_bytes():
+    from tellgrid.llm.substring_dedup import suffix_array
+
+    rng = np.random.default_rng(3)
+    for length in (1, 7, 8, 9, 50, 200):
+        data = np.frombuffer(rng.integers(0, 2, 700, dtype=np.uint8).tobytes() * 2 + b"\xff" * 300, np.uint8)
+        start = np.arange(len(data) - length + 1)
+        order, rank = suffix_array(data, start, length)
+        windows = [data[a : a + length].tobytes() for a in start[order]]
+        assert windows == sorted(windows)
+        assert (np.diff(rank.astype(int)) > 0).tolist() == [a != b for a, b in zip(windows, windows[1:], strict=False)]
 
 
 # --- 3: top-k --------------------------------------------------------------------------------
