@@ -14,6 +14,12 @@ neighbouring windows under one gram form a run, the unit that is shuffled.
   ``length`` bytes and then added as a level; levels of equal size merge
   geometrically.  All comparisons here are of whole windows.
 
+Where a gram has very many different runs (edits of one text, or whatever
+stands beside a passage that very many documents share), these are cut into
+pieces, filed by the bytes that a piece's windows have in common.  Pieces that
+hold none of the differences are alike and counted; with the last width, four
+windows, those of one key differ in three bytes on either side at most.
+
 Runs that are alike are counted before they are shuffled, so a passage that
 very many documents share costs a row a task.  A bitmap of fixed size marks
 the documents that have a hit; only their texts are joined with their spans.
@@ -35,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellgrid.llm.common import cut, partitions, sliced, text_or_empty
+from tellgrid.llm.common import cut, forget, shards, sliced, text_or_empty
 
 LENGTH = 200
 GRAM = 32
@@ -44,6 +50,10 @@ BUFFER = 1 << 18
 _POSITIONS = 1 << 20
 #: Windows of one batch of a shard.
 BATCH = 1 << 17
+#: Runs that a shard holds at most on average, and different runs of one gram from which they are cut into pieces.
+SHARD_RUNS, HOT = 1 << 15, 1 << 10
+#: Windows of a piece, from the first cut to the last.
+WIDTHS = (32, 4)
 #: Bits of the bitmap of documents with a hit.
 BITMAP = 1 << 26
 _NO_ID = -(1 << 63)
@@ -298,6 +308,68 @@ def _shard(length: int):
     return run
 
 
+def _anchor(content: bytes, mh: int, gram: int) -> int:
+    """Where the gram of a run stands: it is the first of its hash, as an earlier one would have been chosen."""
+    data = np.frombuffer(content, np.uint8)
+    at = np.arange(len(data) - gram + 1)
+    return int(np.flatnonzero(hashes(rolling(data), at, at + gram).view(np.int64) == mh)[0])
+
+
+def _cut_runs(width: int, length: int, gram: int):
+    """(mh, ch, n, anchor, content) -> the same, and pieces of ``width`` windows filed by the bytes that these share.
+
+    Windows go to pieces by the distance of their start from the gram, so
+    equal windows share the piece's core and are filed alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "content", 1 << 18):
+            out: dict[str, list] = {k: [] for k in ("mh", "ch", "n", "mh2", "ch2", "shift", "anchor", "content")}
+            for row in batch.to_pylist():
+                content, anchor = row["content"], row["anchor"]
+                if anchor is None:
+                    anchor = _anchor(content, row["mh"], gram)
+                last = len(content) - length  # the last window's start
+                for k in range((anchor - last) // width, anchor // width + 1):
+                    # windows whose start is width * k to width * k + width - 1 bytes before the gram
+                    lo, hi = max(0, anchor - width * k - width + 1), min(last, anchor - width * k)
+                    core = content[anchor - width * k : anchor - width * k - width + 1 + length]
+                    piece = content[lo : hi + length]
+                    key = hashlib.blake2b(b"%d %d %d " % (row["mh"], k, width) + core, digest_size=8).digest()
+                    for name, value in zip(out, (row["mh"], row["ch"], row["n"], int.from_bytes(key, "little", signed=True), None, lo, anchor - lo, piece), strict=True):
+                        out[name].append(value)
+                    out["ch2"][-1] = int.from_bytes(hashlib.blake2b(b"%d " % (anchor - lo) + piece, digest_size=8).digest(), "little", signed=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v, t) for v, t in zip(out.values(), (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary()), strict=True)], names=list(out)
+            )
+
+    return run
+
+
+_PIECES = "mh long, ch long, n long, mh2 long, ch2 long, shift int, anchor int, content binary"
+
+
+def _verdict(distinct: DataFrame, length: int, gram: int, widths: tuple[int, ...]) -> DataFrame:
+    """(mh, ch, n, anchor, content), different runs -> (mh, ch, a, b), the stretches of their windows that repeat.
+
+    Runs of a gram that has more than ``HOT`` of them are cut into pieces;
+    equal pieces are counted, and the rest is judged in the same way.
+    """
+    key = ("mh", "ch")
+    distinct = cut(distinct)
+    hot = cut(distinct.groupBy("mh").agg(F.count("*").alias("__runs")).where(F.col("__runs") > HOT).select("mh")) if widths else None
+    if hot is None or hot.isEmpty():
+        dealt = distinct.repartition(shards(distinct.sparkSession, distinct.count(), SHARD_RUNS), "mh")
+        return dealt.select("mh", "ch", "n", "content").mapInArrow(_shard(length), "mh long, ch long, a int, b int")
+    cold = _verdict(distinct.join(hot, "mh", "left_anti"), length, gram, ())
+    pieces = distinct.join(hot, "mh", "left_semi").select("mh", "ch", "n", "anchor", "content").mapInArrow(_cut_runs(widths[0], length, gram), _PIECES)
+    pieces = cut(pieces)
+    fewer = pieces.groupBy(F.col("mh2").alias("mh"), F.col("ch2").alias("ch")).agg(F.sum("n").alias("n"), F.min("anchor").alias("anchor"), F.min("content").alias("content"))
+    fine = _verdict(fewer, length, gram, widths[1:]).withColumnsRenamed({"mh": "mh2", "ch": "ch2"})
+    back = pieces.select(*key, "mh2", "ch2", "shift").join(fine, ["mh2", "ch2"])
+    return cold.unionByName(back.select(*key, (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.col("b")).alias("b")))
+
+
 def _contents(length: int):
     """(text, runs of one document) -> the bytes of its runs."""
 
@@ -350,8 +422,6 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    spark = docs.sparkSession
-    shards = partitions(spark)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
@@ -360,6 +430,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # a table of its own: a join that reads plain shuffles on both sides can split the runs of a gram that very many documents share
     groups = cut(groups.select(F.col("mh").alias("m"), (F.col("lo") != F.col("hi")).alias("mixed")))
     hits = cut(runs.join(groups, F.col("mh") == F.col("m")).drop("m"))
+    forget(runs, groups)
 
     # a bitmap of fixed size over the documents with a hit: 2,048 rows of 4 KB at most
     spot = F.pmod(F.xxhash64("id", "th"), F.lit(BITMAP))
@@ -373,8 +444,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     mixed = hits.where("mixed").groupBy("id", "th").agg(F.collect_list(F.struct("start", "r", "mh", "ch")).alias("runs"))
     contents = suspects.join(mixed, ["id", "th"]).select("text", "runs").mapInArrow(_contents(length), "mh long, ch long, content binary")
-    distinct = contents.groupBy("mh", "ch").agg(F.count("*").alias("n"), F.min("content").alias("content"))
-    verdict = distinct.repartition(shards, "mh").select("mh", "ch", "n", "content").mapInArrow(_shard(length), "mh long, ch long, a int, b int")
+    distinct = contents.groupBy("mh", "ch").agg(F.count("*").alias("n"), F.lit(None).cast("int").alias("anchor"), F.min("content").alias("content"))
+    verdict = _verdict(distinct, length, gram, WIDTHS)
 
     whole = hits.where("not mixed").select("id", "th", F.col("start").alias("s"), (F.col("start") + F.col("r") + (length - 1)).alias("e"))
     parts = hits.where("mixed").join(verdict, ["mh", "ch"]).select("id", "th", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + length).alias("e"))

@@ -128,6 +128,26 @@ def test_substring_dedup(spark, sf_dir):
     assert remove_repeats(empty(spark)).collect() == []
 
 
+def test_substring_dedup_of_a_hot_gram(spark, monkeypatch):
+    """Edits of one text, and a passage between changing neighbours, cut into pieces once and twice."""
+    import random
+
+    from tellgrid.llm import substring_dedup as s
+
+    r = random.Random(6)
+    base = "".join(r.choice("abcdé ") for _ in range(900))
+    texts = []
+    for i in range(60):
+        at = r.randrange(0, 880)
+        texts.append(base[:at] + f"<{i}>" + base[at + 3 :])
+        texts.append("".join(r.choice("xyz") for _ in range(r.randrange(0, 260))) + base[200:440] + "".join(r.choice("xyz") for _ in range(250)))
+    rows = list(enumerate(texts))
+    want = Counter((i, *w) for (i, _), w in zip(rows, brute_repeats(texts, 200), strict=True))
+    for hot in (0, 2, 20):
+        monkeypatch.setattr(s, "HOT", hot)
+        assert Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in s.remove_repeats(make(spark, rows)).collect()) == want
+
+
 def test_long_documents_are_cut_without_a_seam(monkeypatch):
     from tellgrid.llm import substring_dedup as s
 
