@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellgrid.llm.common import table
+from tellgrid.llm.url_filter import SUFFIXES
 from tellgrid.sources.readers import spread
 
 
@@ -101,7 +102,11 @@ WITH u AS (
 ), v AS (
   SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM j
 ), h AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+  SELECT host,
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIX_TABLE)
+              THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIX_TABLE)
+              THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix,
          count(ruled)::DOUBLE AS n, (count(*) FILTER (ruled = 'block'))::DOUBLE AS k
   FROM v GROUP BY host
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
@@ -124,7 +129,7 @@ ab AS (SELECT host, k + m3 * dp AS a, n - k + m3 * (1 - dp) AS b FROM h JOIN dp
 post AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab)
 SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM v LEFT JOIN post ON v.host = post.host
-"""
+""".replace("SUFFIX_TABLE", ", ".join(f"'{s}'" for s in SUFFIXES))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -686,6 +686,28 @@ def test_a_bad_host_is_blocked_by_its_posterior(spark):
     assert got["bad.net/en/1"] == "block" and got["other.org/x"] == "allow"
 
 
+def test_sites_under_a_suffix_of_two_labels_are_apart(spark):
+    from tellgrid.llm.url_filter import judge_urls, suffix_and_domain
+
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.z": ("z", "y.z"), "z": ("z", "z"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.s, r.d) for r in df.select("host", *(c.alias(n) for c, n in zip(suffix_and_domain(F.col("host")), "sd", strict=True))).collect()} == hosts
+    df = spark.createDataFrame([("q.r.s.t",)], "host string")
+    assert df.select(*suffix_and_domain(F.col("host"), ("s.t", "r.s.t"))).first()[:] == ("r.s.t", "q.r.s.t")
+    rules = [("block", "spam.co.uk", "/bad"), ("allow", "fine.org.uk", "/")]
+    urls = [f"http://w{i % 4}.spam.co.uk/bad/{i}" for i in range(60)] + [f"http://fine.org.uk/{i}" for i in range(60)] + ["http://w9.spam.co.uk/x", "http://else.org.uk/x"]
+    got = {r.host + r.path: r.verdict for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert got["w9.spam.co.uk/x"] == "block" and got["else.org.uk/x"] == "allow"
+
+
+def test_url_rows_that_repeat_and_a_very_long_url(spark):
+    from tellgrid.llm.url_filter import judge_urls
+
+    urls = [f"http://h.org/{'p' * 300_000}", "http://h.org/x", "http://h.org/x", None]
+    rows = judge_urls(spark.createDataFrame([(1, u) for u in urls], "page_id long, url string")).collect()
+    assert Counter((r.host, len(r.path)) for r in rows) == Counter([("h.org", 300_001), ("h.org", 2), ("h.org", 2), ("", 0)])
+
+
 # --- 10: HTML -------------------------------------------------------------------------------------------------
 
 
