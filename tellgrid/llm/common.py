@@ -8,33 +8,19 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellgrid.sources.readers import BATCH_BYTES, small_batches  # noqa: F401
+
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of input for each task of a written table, tasks for each core that smaller inputs keep, and the least bytes of one.
 TASK_BYTES, TASKS_A_CORE, LEAST_BYTES = 16 << 20, 4, 1 << 18
-#: Bytes of an Arrow batch between the JVM and Python, unless the session asks for less (a batch holds a row at least).
-BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches bounded in bytes.
-
-    Ten thousand rows, Spark's bound, are more than a worker's memory, or than
-    Arrow's two gigabytes, where texts are long.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf = df.sparkSession.conf
-    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key))
-    if now <= 0 or now > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
-    return df
-
-
 def narrowed(df: DataFrame) -> DataFrame:
     """Fewer tasks, so that small results do not become very many files; nothing is shuffled.
 
