@@ -23,6 +23,13 @@ from tellgrid.plans.errors import ProfileError
 from tellgrid.plans.profile import Profile, apply_presets, default_profile, load_profile, load_voice, overlay, trim, with_voice
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded bytes of text."""
+    for batch in batches:
+        for at, n in columns.slices(batch.column(text)):
+            yield batch.slice(at, n)
+
+
 def check(df: DataFrame, profile: Profile | None = None, text_col: str = "text", out: str = "findings", **options) -> DataFrame:
     return df.withColumn(out, columns.check(text_col, profile, **options))
 
@@ -41,7 +48,7 @@ def findings(df: DataFrame, profile: Profile | None = None, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = kernel.engine_for(plan, *(options.get(k, d) for k, d in (("ignore", ranges.IGNORE), ("ignore_next", ranges.IGNORE_NEXT))))
         kind = pa.struct([pa.field(f.name, to_arrow_type(f.dataType)) for f in model.FINDING.fields])
-        for batch in batches:
+        for batch in _sliced(batches, len(keys)):
             at, found = [], []
             for i, text in enumerate(batch.column(len(keys)).to_pylist()):
                 new = engine.check(text) if text is not None else []
@@ -146,12 +153,12 @@ def chop(requests: DataFrame, presets: Sequence[str] = ("cleaver",), most_bytes:
             engine = _requested(row.get("profile") or None, tuple(presets if named is None else named), row.get("voice") or None)
         except ProfileError as e:
             return nothing | {"error": str(e)}
-        cleaned, found = engine.fix(text)
-        return {"output": cleaned, "findings": list(map(vars, found)), "score": vars(engine.score(text, found)), "score_after": vars(engine.score(cleaned)), "error": None}
+        cleaned, found, before, after = engine.chop(text)
+        return {"output": cleaned, "findings": list(map(vars, found)), "score": vars(before), "score_after": vars(after), "error": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = to_arrow_type(model.CHOP)
-        for batch in batches:
+        for batch in _sliced(batches, names.index("text")) if "text" in names else batches:
             rows = batch.select([c for c in ("text", "presets", "profile", "voice") if c in names]).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([one(r) for r in rows], kind)], names=[*names, "result"])
 
