@@ -50,8 +50,10 @@ def findings(df: DataFrame, profile: Profile | None = None, text_col: str = "tex
         kind = pa.struct([pa.field(f.name, to_arrow_type(f.dataType)) for f in model.FINDING.fields])
         for batch in _sliced(batches, len(keys)):
             at, found = [], []
-            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
-                new = engine.check(text) if text is not None else []
+            texts = batch.column(len(keys)).to_pylist()
+            checked = iter(engine.checks([t for t in texts if t is not None]))
+            for i, text in enumerate(texts):
+                new = next(checked) if text is not None else []
                 at += [i] * len(new)
                 found += map(vars, new)
             told = pa.array(found, kind)
